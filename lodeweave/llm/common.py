@@ -48,6 +48,14 @@ def text_key(text: Column) -> Column:
     return F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit("second"), text).alias("b"))
 
 
+def let(value: Column, then) -> Column:
+    """then(value) with the value computed once a row: a lambda binds it.
+
+    A column that is used inside another lambda would be computed for every element.
+    """
+    return F.transform(F.array(value), then)[0]
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

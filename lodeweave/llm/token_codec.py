@@ -28,8 +28,10 @@ MAGIC = b"LWR1"
 HEADER = struct.Struct("<4sIII")  # magic, ids, crc32 of the ids, crc32 of the payload
 SLOTS2, SLOTS1, COUNTS = 2048, 1024, 1024
 LOW_RANGE, WINDOW = np.uint64(1 << 32), np.uint64((1 << 48) - 1)
-UPPER = np.triu(np.ones((EVENTS, EVENTS), np.float32))
-START = np.array([4096, 4096, 2048, 6144, 4096, 4096, 4096, 4096], np.int32)
+#: Counts that each event starts with, and what one more adds.
+START, STEP = np.array([4, 4, 2, 6, 4, 4, 4, 4], np.int32), 8
+#: Size class of each id.
+CLASS_OF = np.repeat(np.arange(3, 8), CLASS_SIZE[3:])
 
 
 class _Lanes:
@@ -39,11 +41,13 @@ class _Lanes:
         self.n = n
         self.t2, self.t1 = np.zeros(n * SLOTS2, np.int32), np.zeros(n * SLOTS1, np.int32)
         self.counts = np.zeros(n * COUNTS, np.int16)
-        self.p0 = np.tile(START, (n, 1))
+        # event counts: a row for each context, and each row's sum
+        self.p0 = np.repeat(START[:, None], n, axis=1)
         self.p1, self.p2 = np.tile(START, (n * 32, 1)), np.tile(START, (n * 16, 1))
+        self.sum0, self.sum1, self.sum2 = (np.full(k, START.sum(), np.int32) for k in (n, n * 32, n * 16))
         self.w = np.full((3, n), 341, np.int32)
         lane = np.arange(n, dtype=np.int64)
-        self.lane8, self.at2, self.at1, self.atc, self.at32, self.at16 = lane * EVENTS, lane * SLOTS2, lane * SLOTS1, lane * COUNTS, lane * 32, lane * 16
+        self.at2, self.at1, self.atc, self.at32, self.at16 = lane * SLOTS2, lane * SLOTS1, lane * COUNTS, lane * 32, lane * 16
         self.best, self.cand0 = np.zeros(n, np.int16), np.full(n, -1, np.int32)
         self.last, self.before, self.cls = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
 
@@ -52,51 +56,56 @@ class _Lanes:
         last = self.last[:n]
         self.i1 = self.at1[:n] + ((last * 0x9E3779B1 >> 12) & (SLOTS1 - 1))
         self.i2 = self.at2[:n] + ((last * 0x9E3779B1 + self.before[:n] * 0x85EBCA77 >> 13) & (SLOTS2 - 1))
-        self.s1, self.s2 = self.t1[self.i1], self.t2[self.i2]
+        self.s1, self.s2 = self.t1.take(self.i1), self.t2.take(self.i2)
         self.c1, self.c2 = (self.s1 & 0x1FFFF) - 1, (self.s2 & 0x1FFFF) - 1
         c0, k1 = self.cand0[:n], self.s1 >> 20
         self.j1 = self.at32[:n] + (self.cls[:n] << 2) + k1
         self.j2 = self.at16[:n] + ((self.s2 >> 20) << 2) + k1
-        self.r0, self.r1, self.r2 = self.p0[:n], self.p1[self.j1], self.p2[self.j2]
-        w = self.w[:, :n]
-        f = self.r0 * w[0][:, None]
-        f += self.r1 * w[1][:, None]
-        f += self.r2 * w[2][:, None]
+        self.r0 = self.p0[:, :n]
+        self.r1 = np.ascontiguousarray(self.p1.take(self.j1, axis=0).T)
+        self.r2 = np.ascontiguousarray(self.p2.take(self.j2, axis=0).T)
+        w = self.w[:, :n] << 14
+        self.sums = self.sum0[:n], self.sum1.take(self.j1), self.sum2.take(self.j2)
+        f = self.r0 * (w[0] // self.sums[0])
+        f += self.r1 * (w[1] // self.sums[1])
+        f += self.r2 * (w[2] // self.sums[2])
         f >>= 10
         f += 1
-        f[:, 0] *= self.c2 >= 0
-        f[:, 1] *= (self.c1 >= 0) & (self.c1 != self.c2)
-        f[:, 2] *= (c0 >= 0) & (c0 != self.c1) & (c0 != self.c2)
+        f[0] *= self.c2 >= 0
+        f[1] *= (self.c1 >= 0) & (self.c1 != self.c2)
+        f[2] *= (c0 >= 0) & (c0 != self.c1) & (c0 != self.c2)
         self.f = f
-        self.cum = f.astype(np.float32) @ UPPER  # sums under 2 ** 24: exact
-        self.total = self.cum[:, -1].astype(np.uint64)
+        self.cum = cum = f.copy()
+        for e in range(1, EVENTS):
+            cum[e] += cum[e - 1]
+        self.total = cum[-1].astype(np.uint64)
+        self.lanes = np.arange(n)
 
     def span(self, n: int, event: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = self.lane8[:n] + event
-        size = self.f.ravel()[at].astype(np.uint64)
-        return self.cum.ravel()[at].astype(np.uint64) - size, size
+        at = event * n + self.lanes
+        size = self.f.ravel().take(at)
+        return (self.cum.ravel().take(at) - size).astype(np.uint64), size.astype(np.uint64)
 
     def update(self, n: int, ids: np.ndarray, event: np.ndarray) -> None:
-        at = self.lane8[:n] + event
-        hit = np.stack([self.r0.ravel()[at], self.r1.ravel()[at], self.r2.ravel()[at]])
-        share = (hit << 10) // (hit.sum(axis=0, dtype=np.int32) + 1)
-        w = self.w[:, :n]
-        w += (share - w) >> 4
-        np.maximum(w, 8, out=w)
-        for row, table, where, rate in ((self.r0, self.p0, None, 5), (self.r1, self.p1, self.j1, 4), (self.r2, self.p2, self.j2, 4)):
-            new = row - (row >> rate)
-            new.ravel()[at] += 32768 >> rate
-            if where is None:
-                table[:n] = new
-            else:
-                table[where] = new
+        at = event * n + self.lanes
+        h = [(r.ravel().take(at) << 10) // t for r, t in zip((self.p0 if n == self.n else self.r0.copy(), self.r1, self.r2), self.sums, strict=True)]
+        every = h[0] + h[1] + h[2] + 1
+        for x, y in zip(self.w[:, :n], h, strict=True):
+            x += ((y << 10) // every - x) >> 4
+        np.maximum(self.w, 8, out=self.w)
+        self.p0.ravel()[event * self.n + self.lanes] += STEP
+        self.p1.ravel()[self.j1 * EVENTS + event] += STEP
+        self.p2.ravel()[self.j2 * EVENTS + event] += STEP
+        self.sum0[:n] += STEP
+        self.sum1[self.j1] += STEP
+        self.sum2[self.j2] += STEP
         ids32 = ids.astype(np.int32)
         for table, where, cand, slot in ((self.t1, self.i1, self.c1, self.s1), (self.t2, self.i2, self.c2, self.s2)):
             conf = slot >> 20
             ok = cand == ids32
             table[where] = (ids32 + 1) | (np.where(ok, np.minimum(conf + 1, 3), conf >> 2) << 20)
         i = self.atc[:n] + ((ids * 0x9E3779B1 >> 14) & (COUNTS - 1))
-        c = self.counts[i] + np.int16(1)
+        c = self.counts.take(i) + np.int16(1)
         self.counts[i] = c
         more = c > self.best[:n]
         self.best[:n] = np.where(more, c, self.best[:n])
@@ -107,7 +116,7 @@ class _Lanes:
 
 
 def _class(ids: np.ndarray) -> np.ndarray:
-    return 3 + (ids >= 256).astype(np.int64) + (ids >= 1024) + (ids >= 4096) + (ids >= 16384)
+    return CLASS_OF.take(ids)
 
 
 def _by_length(lens: list[int]) -> tuple[np.ndarray, np.ndarray]:
@@ -210,8 +219,10 @@ def decode(blocks: list[bytes]) -> list[np.ndarray]:
         k = int(live[t])
         m.predict(k)
         r = rng[:k] // m.total
-        v = np.minimum(code[:k] // r, m.total - np.uint64(1)).astype(np.float32)
-        event = (m.cum <= v[:, None]).sum(axis=1)
+        v = np.minimum(code[:k] // r, m.total - np.uint64(1)).astype(np.int32)
+        event = np.zeros(k, np.int64)
+        for row in m.cum[:-1]:
+            event += row <= v
         start, size = m.span(k, event)
         code[:k] -= r * start
         rng[:k] = r * size
