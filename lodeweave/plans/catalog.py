@@ -2,10 +2,523 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import names as N
+from ..operators import evaluate, graph, sampling, similarity, transport, verbalize
+from ..sources import readers
+from .fixtures import attributes, entity_name_sql, kg_sql, predicate_name_sql, relations, table, vec_sql, vectors
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+P, E = predicate_name_sql, entity_name_sql
+RANK = "(SELECT g.q, g.gold, r.rk FROM gold g LEFT JOIN ranked r ON r.q = g.q AND r.c = g.gold)"
+HASH = "('0x' || substr(md5('7|' || {}), 1, 8))::BIGINT"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def _int(df: DataFrame, *cols: str) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast("bigint") for c in cols})
+
+
+# --- graph ----------------------------------------------------------------------------------------
+
+
+@query(kg_sql("SELECT kg, head, rel, tail, false AS is_inv FROM rel UNION ALL SELECT kg, tail, rel || '_(inv)', head, true FROM rel"))
+def inverse_edges(s, d):
+    return graph.inverse_edges(relations(s, d))
+
+
+@query(kg_sql("SELECT kg, head AS a, tail AS b FROM rel UNION SELECT kg, tail, head FROM rel"))
+def undirected_edges(s, d):
+    return graph.undirected(relations(s, d))
+
+
+@query(kg_sql("SELECT kg, head AS entity FROM rel UNION SELECT kg, tail FROM rel UNION SELECT kg, entity FROM attr"))
+def entities(s, d):
+    return graph.entities(relations(s, d), attributes(s, d))
+
+
+@query(kg_sql("SELECT kg, head, rel, count(*) AS n_tails, string_agg(DISTINCT tail, ' ' ORDER BY tail) AS tails FROM rel GROUP BY ALL"))
+def adjacency(s, d):
+    return graph.adjacency(relations(s, d))
+
+
+@query(kg_sql(f"SELECT DISTINCT kg, r AS rel, {P('r')} AS name FROM (SELECT kg, rel AS r FROM rel UNION ALL SELECT kg, rel || '_(inv)' FROM rel)"))
+def relation_names(s, d):
+    return graph.inverse_edges(relations(s, d)).select("kg", "rel").distinct().withColumn("name", N.predicate_name(F.col("rel")))
+
+
+@query(f"SELECT page_id, url, {E('url')} AS name FROM pages")
+def entity_names(s, d):
+    return table(s, d, "pages").select("page_id", "url", N.entity_name(F.col("url")).alias("name"))
+
+
+@query(kg_sql(f"SELECT kg, entity, lower(value) AS name FROM attr WHERE {P('attr')} IN ('name', 'title', 'label')"))
+def name_attributes(s, d):
+    return graph.names(attributes(s, d))
+
+
+@query(kg_sql(f"SELECT kg, entity, min(lower(value)) AS alias FROM attr WHERE {P('attr')} IN ('name', 'title', 'label') GROUP BY ALL"))
+def entity_alias(s, d):
+    return graph.alias(attributes(s, d))
+
+
+@query(kg_sql("SELECT e.kg, e.entities, r.relations, a.attributes FROM (SELECT kg, count(*) AS entities FROM (SELECT kg, head AS x FROM rel UNION SELECT kg, tail FROM rel UNION SELECT kg, entity FROM attr) GROUP BY kg) e JOIN (SELECT kg, 2 * count(DISTINCT rel) AS relations FROM rel GROUP BY kg) r USING (kg) JOIN (SELECT kg, count(DISTINCT attr) AS attributes FROM attr GROUP BY kg) a USING (kg)"))
+def kg_stats(s, d):
+    return graph.stats(relations(s, d), attributes(s, d))
+
+
+@query(kg_sql(f"SELECT kg, rel_name, round(count(DISTINCT head)::DOUBLE / count(*), 8) AS functionality FROM (SELECT DISTINCT kg, {P('rel')} AS rel_name, head, tail FROM rel) GROUP BY ALL"))
+def relation_functionality(s, d):
+    return graph.relation_functionality(relations(s, d))
+
+
+ATTR_FUN = f"fun AS (SELECT p.kg, attr_name, round(cnt::DOUBLE / total * (cnt::DOUBLE / docs), 8) AS functionality FROM (SELECT kg, attr_name, count(*) AS cnt, sum(n)::BIGINT AS total FROM (SELECT kg, {P('attr')} AS attr_name, entity, attr, count(DISTINCT value) AS n FROM attr GROUP BY ALL) GROUP BY ALL) p JOIN (SELECT kg, count(*) AS docs FROM (SELECT kg, head AS x FROM rel UNION SELECT kg, tail FROM rel UNION SELECT kg, entity FROM attr) GROUP BY kg) USING (kg))"
+
+
+@query(kg_sql(f", {ATTR_FUN} SELECT * FROM fun"))
+def attribute_functionality(s, d):
+    return graph.attribute_functionality(relations(s, d), attributes(s, d))
+
+
+def _top_attributes(s, d):
+    a = attributes(s, d).withColumn("attr_name", N.predicate_name(F.col("attr")))
+    return a.join(F.broadcast(graph.attribute_functionality(relations(s, d), attributes(s, d))), ["kg", "attr_name"])
+
+
+@query(kg_sql(f", {ATTR_FUN} SELECT kg, entity, attr_name, value, rn FROM (SELECT a.kg, entity, attr_name, value, row_number() OVER (PARTITION BY a.kg, entity ORDER BY functionality DESC, attr_name, value) AS rn FROM (SELECT *, {P('attr')} AS attr_name FROM attr) a JOIN fun USING (kg, attr_name)) WHERE rn <= 2"))
+def top_attributes(s, d):
+    w = Window.partitionBy("kg", "entity").orderBy(F.desc("functionality"), "attr_name", "value")
+    return _int(_top_attributes(s, d).withColumn("rn", F.row_number().over(w)).where("rn <= 2").select("kg", "entity", "attr_name", "value", "rn"), "rn")
+
+
+@query(kg_sql(f", {ATTR_FUN} SELECT kg, entity, attr_name, functionality FROM (SELECT a.kg, entity, attr_name, functionality, row_number() OVER (PARTITION BY a.kg, entity, functionality ORDER BY attr_name, value) AS rn FROM (SELECT *, {P('attr')} AS attr_name FROM attr) a JOIN fun USING (kg, attr_name)) WHERE rn = 1"))
+def functional_attrs(s, d):
+    w = Window.partitionBy("kg", "entity", "functionality").orderBy("attr_name", "value")
+    return _top_attributes(s, d).withColumn("rn", F.row_number().over(w)).where("rn = 1").select("kg", "entity", "attr_name", "functionality")
+
+
+@query(kg_sql("SELECT kg, rel, row_number() OVER (PARTITION BY kg ORDER BY f, rel) - 1 AS rel_id FROM (SELECT kg, rel, min({'h': head, 't': tail}) AS f FROM rel GROUP BY ALL)"))
+def relation_ids(s, d):
+    return graph.relation_ids(relations(s, d))
+
+
+SHARED = "shared AS (SELECT split_part(x, '/', -1) AS e FROM (SELECT kg, head AS x FROM rel UNION SELECT kg, tail FROM rel UNION SELECT kg, entity FROM attr) GROUP BY 1 HAVING count(DISTINCT kg) = 2)"
+
+
+def _links(s, d):
+    e = graph.entities(relations(s, d), attributes(s, d)).withColumn("e", N.last_segment(F.col("entity")))
+    return e.groupBy("e").agg(F.countDistinct("kg").alias("n")).where("n = 2").select("e")
+
+
+@query(kg_sql(f", {SHARED} SELECT e, k - 1 AS id1, k - 1 + n AS id2 FROM (SELECT e, row_number() OVER (ORDER BY e) AS k, count(*) OVER () AS n FROM shared)"))
+def link_ids(s, d):
+    k = F.row_number().over(Window.orderBy("e")) - 1
+    return _links(s, d).select("e", k.cast("bigint").alias("id1"), (k + F.count("*").over(Window.partitionBy())).cast("bigint").alias("id2"))
+
+
+@query(kg_sql(f", {SHARED} SELECT e, k <= floor(0.3 * n) AS train FROM (SELECT e, row_number() OVER (ORDER BY e) AS k, count(*) OVER () AS n FROM shared)"))
+def split_30_70(s, d):
+    return sampling.first_share(_links(s, d), lambda n: F.floor(0.3 * n), ["e"]).select("e", F.col("first").alias("train"))
+
+
+@query(f"SELECT c_custkey, k <= n - floor(0.1 * n) AS train FROM (SELECT c_custkey, row_number() OVER (ORDER BY {HASH.format('c_custkey')}, c_custkey) AS k, count(*) OVER () AS n FROM customer)")
+def split_90_10(s, d):
+    c = table(s, d, "customer").select("c_custkey")
+    return sampling.first_share(c, lambda n: n - F.floor(0.1 * n), [N.hash_order("7", F.col("c_custkey")), "c_custkey"]).select("c_custkey", F.col("first").alias("train"))
+
+
+@query(kg_sql("SELECT key, n, side FROM (SELECT head AS key, count(*) AS n, 'url' AS side FROM (SELECT DISTINCT kg, head FROM rel) GROUP BY 1 HAVING count(*) > 1)"))
+def id_map_check(s, d):
+    ids = relations(s, d).select("kg", "head").distinct().select(F.xxhash64("kg", "head").alias("id"), F.col("head").alias("url"))
+    return readers.id_map_faults(ids).select("key", F.col("count").alias("n"), "side")
+
+
+@query("SELECT c_custkey AS id, 'n' || c_nationkey AS rel_url, c_name AS head_url, n_name AS tail_url FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def decode_triples(s, d):
+    c, n = table(s, d, "customer"), table(s, d, "nation")
+    ents = c.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("url"))
+    tails = n.select((-1 - F.col("n_nationkey")).cast("bigint").alias("id"), F.col("n_name").alias("url"))
+    rels = n.select(F.col("n_nationkey").alias("id"), F.concat(F.lit("n"), "n_nationkey").alias("url"))
+    triples = c.select(F.col("c_custkey").alias("head"), F.col("c_nationkey").alias("rel"), (-1 - F.col("c_nationkey")).cast("bigint").alias("tail"))
+    out = readers.decode(triples, ents.unionByName(tails), rels)
+    return out.join(ents.select("id", F.col("url").alias("head_url")), "head_url")
+
+
+@query("SELECT c.c_custkey AS id1, s.s_suppkey AS id2 FROM customer c JOIN supplier s ON c.c_custkey = s.s_suppkey")
+def links_by_url(s, d):
+    c, sp = table(s, d, "customer"), table(s, d, "supplier")
+    links = sp.select(F.concat(F.lit("c"), "s_suppkey").alias("url1"), F.concat(F.lit("s"), "s_suppkey").alias("url2"))
+    return readers.links_by_url(links, c.select(F.concat(F.lit("c"), "c_custkey").alias("url"), F.col("c_custkey").alias("id")), sp.select(F.concat(F.lit("s"), "s_suppkey").alias("url"), F.col("s_suppkey").alias("id")))
+
+
+@query("SELECT c_custkey, split_part('1@@' || c_name, '@@', 2) AS name FROM customer")
+def links_prefixed(s, d):
+    return table(s, d, "customer").select("c_custkey", readers.strip_side(F.concat(F.lit("1@@"), "c_name"), 1).alias("name"))
+
+
+@query("SELECT DISTINCT 'http://e/' || c_custkey AS entity, 'http://a/name' AS attr, c_name AS value FROM customer")
+def parse_ntriples(s, d):
+    c = table(s, d, "customer")
+    line = F.concat(F.lit("<http://e/"), F.col("c_custkey").cast("string"), F.lit('> <http://a/name> "'), "c_name", F.lit('"@en .'))
+    return readers.parse_ntriples(c.select(line.alias("value")).unionByName(c.limit(3).select(F.lit("broken line").alias("value"))))
+
+
+@query("SELECT c_custkey, c_name AS plain, c_name AS typed, c_name AS tagged FROM customer")
+def clean_literals(s, d):
+    q = F.concat(F.lit('"'), "c_name", F.lit('"'))
+    return table(s, d, "customer").select("c_custkey", N.clean_literal(q).alias("plain"), N.clean_literal(F.concat(q, F.lit("^^<http://x#string>"))).alias("typed"), N.clean_literal(F.concat(q, F.lit("@en"))).alias("tagged"))
+
+
+@query("SELECT page_id, md5('zh_en|' || url || '|use_url=true') AS key FROM pages")
+def cache_keys(s, d):
+    return table(s, d, "pages").select("page_id", F.md5(F.concat(F.lit("zh_en|"), "url", F.lit("|use_url=true"))).alias("key"))
+
+
+@query("SELECT c_custkey AS q, max(src) AS src FROM (SELECT c_custkey, 0 AS src FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT c_custkey, 1 FROM customer WHERE c_custkey % 2 = 0) GROUP BY 1")
+def train_valid_union(s, d):
+    c = table(s, d, "customer").select(F.col("c_custkey").alias("q"))
+    return c.where("q % 3 = 0").withColumn("src", F.lit(0)).unionByName(c.where("q % 2 = 0").withColumn("src", F.lit(1))).groupBy("q").agg(F.max("src").alias("src"))
+
+
+@query("SELECT url FROM pages WHERE page_id % 2 = 1 AND url NOT IN (SELECT url FROM pages WHERE page_id % 2 = 0)")
+def pending_urls(s, d):
+    p = table(s, d, "pages")
+    return p.where("page_id % 2 = 1").select("url").join(p.where("page_id % 2 = 0").select("url"), "url", "left_anti")
+
+
+@query("SELECT DISTINCT text FROM (SELECT text FROM documents UNION ALL SELECT text FROM benchmark)")
+def corpus_distinct(s, d):
+    return table(s, d, "documents").select("text").unionByName(table(s, d, "benchmark").select("text")).distinct()
+
+
+# --- text -----------------------------------------------------------------------------------------
+
+
+@query(kg_sql(f"SELECT kg, entity, {E('entity')} || ' ' AS header FROM (SELECT kg, head AS entity FROM rel UNION SELECT kg, tail FROM rel UNION SELECT kg, entity FROM attr)"))
+def verbalize_header(s, d):
+    return verbalize.header(graph.entities(relations(s, d), attributes(s, d)), attributes(s, d))
+
+
+REL_LINES = f"SELECT kg, head AS entity, string_agg({E('head')} || ' ' || {P('rel')} || ' ' || {E('tail')}, chr(10) ORDER BY rel, tail) AS relations FROM rel GROUP BY ALL"
+ATTR_LINES = f"SELECT kg, entity, string_agg({P('attr')} || ' ' || value, chr(10) ORDER BY attr, value) AS attributes FROM attr GROUP BY ALL"
+
+
+@query(kg_sql(REL_LINES))
+def verbalize_relations(s, d):
+    return verbalize.relation_lines(relations(s, d).select("kg", "head", "rel", "tail")).select("kg", "entity", "relations")
+
+
+@query(kg_sql(ATTR_LINES))
+def verbalize_attributes(s, d):
+    return verbalize.attribute_lines(attributes(s, d))
+
+
+@query(kg_sql(f", rl AS ({REL_LINES}), al AS ({ATTR_LINES}), ents AS (SELECT kg, head AS entity FROM rel UNION SELECT kg, tail FROM rel UNION SELECT kg, entity FROM attr) SELECT kg, entity, {E('entity')} || ' ' || coalesce(chr(10) || relations, '') || coalesce(chr(10) || attributes, '') AS sequence FROM ents LEFT JOIN rl USING (kg, entity) LEFT JOIN al USING (kg, entity)"))
+def verbalize_full(s, d):
+    return verbalize.full(relations(s, d), attributes(s, d), use_name=False)
+
+
+@query("SELECT conv_id, turn, nullif(lower(regexp_extract(t, '(?i)(?:the )?(?:correct )?answer ?(?:should be)? ?(?:is)? ?[:=]? ?\\(([a-z])\\)', 1)), '') AS answer FROM (SELECT conv_id, turn, CASE WHEN turn % 5 = 4 THEN 'nope' ELSE 'The correct answer : (' || chr((97 + turn % 4)::INT) || ')' END AS t FROM conversations)")
+def parse_answers(s, d):
+    c = table(s, d, "conversations")
+    t = F.when(F.col("turn") % 5 == 4, "nope").otherwise(F.concat(F.lit("The correct answer : ("), F.char(97 + F.col("turn") % 4), F.lit(")")))
+    return c.select("conv_id", "turn", N.parse_answer(t).alias("answer"))
+
+
+@query("SELECT item_id, doc_id, CASE WHEN nq + nd > 100 THEN array_to_string(string_split(q, ' ')[1:k], ' ') ELSE q END AS tq, CASE WHEN nq + nd > 100 THEN array_to_string(string_split(t, ' ')[1:100 - k], ' ') ELSE t END AS td FROM (SELECT *, floor(nq::DOUBLE / (nq + nd) * 100)::INT AS k FROM (SELECT item_id, doc_id, b.text AS q, d.text AS t, len(string_split(b.text, ' ')) AS nq, len(string_split(d.text, ' ')) AS nd FROM benchmark b JOIN documents d ON d.doc_id = b.item_id))")
+def truncate_pairs(s, d):
+    b, t = table(s, d, "benchmark").select("item_id", F.col("text").alias("q")), table(s, d, "documents").select("doc_id", "text")
+    x, y = verbalize.truncate_pair(F.col("q"), F.col("text"), 100)
+    return b.join(t, b["item_id"] == t["doc_id"]).select("item_id", "doc_id", x.alias("tq"), y.alias("td"))
+
+
+@query(f"SELECT p.page_id, coalesce(d.text, {E('p.url')}) AS sequence FROM pages p LEFT JOIN documents d ON d.doc_id = p.page_id AND d.doc_id % 2 = 0")
+def sequence_fallback(s, d):
+    p, t = table(s, d, "pages"), table(s, d, "documents").where("doc_id % 2 = 0")
+    return p.join(t, p["page_id"] == t["doc_id"], "left").select("page_id", F.coalesce("text", N.entity_name(F.col("url"))).alias("sequence"))
+
+
+# --- vectors --------------------------------------------------------------------------------------
+
+
+def _ranked(s, d, k=None, metric="cosine"):
+    q, docs, _ = vectors(s, d)
+    return similarity.top_k(q, docs, k, metric)
+
+
+def _ranks(s, d):
+    return evaluate.gold_rank(_ranked(s, d), vectors(s, d)[2])
+
+
+def _knn(metric):
+    def run(s, d):
+        return _int(_ranked(s, d, 10, metric), "rk")
+
+    run.__name__ = f"knn_{metric}"
+    return query(vec_sql("SELECT q, c, score, rk FROM ranked WHERE rk <= 10", metric))(run)
+
+
+def _sim(metric):
+    def run(s, d):
+        return _ranked(s, d, None, metric).select("q", "c", "score")
+
+    run.__name__ = f"sim_{metric}"
+    return query(vec_sql("SELECT q, c, score FROM sim", metric))(run)
+
+
+for _m in ("cosine", "inner", "l2"):
+    _knn(_m)
+for _m in ("cosine", "inner", "euclidean", "manhattan"):
+    _sim(_m)
+
+
+@query(vec_sql(f"SELECT round(avg((coalesce(rk, 99999999) <= 1)::INT), 8) AS hits_1, round(avg((coalesce(rk, 99999999) <= 10)::INT), 8) AS hits_10, round(avg((coalesce(rk, 99999999) <= 50)::INT), 8) AS hits_50, round(avg(coalesce(1.0::DOUBLE / rk, 0)), 8) AS mrr, count(*) AS n FROM {RANK}"))
+def retrieval_eval(s, d):
+    return evaluate.hits(_ranks(s, d))
+
+
+@query(vec_sql(f"SELECT q, gold, rk FROM {RANK}"))
+def gold_position(s, d):
+    return _int(_ranks(s, d), "rk")
+
+
+@query(vec_sql(f"SELECT sum((coalesce(rk, 99999999) > 10)::INT)::BIGINT AS not_at_topk, sum((coalesce(rk, 0) = 1)::INT)::BIGINT AS at_top1, sum((rk BETWEEN 2 AND 10)::INT)::BIGINT AS between FROM {RANK}".replace("AS between", 'AS "between"')))
+def strata_sizes(s, d):
+    return evaluate.strata(_ranks(s, d), 10)
+
+
+def _strategy(name, spark_filter, sql_filter):
+    def run(s, d):
+        return _int(_ranks(s, d).where(spark_filter), "rk")
+
+    run.__name__ = f"test_strategy_{name}"
+    query(vec_sql(f"SELECT q, gold, rk FROM {RANK} WHERE {sql_filter}"))(run)
+
+
+for _n, _f in {"only_at_rank_1": "rk = 1", "only_not_at_rank_1": "rk > 1", "at_topk": "rk <= 10", "at_topk_and_not_at_rank_1": "rk BETWEEN 2 AND 10"}.items():
+    _strategy(_n, _f, _f)
+
+
+@query(vec_sql("SELECT q, c, score, rk FROM ranked WHERE rk - 1 >= 2 AND rk - 1 < 20"))
+def rank_slice(s, d):
+    return _int(_ranked(s, d, 20).where("rk - 1 >= 2 and rk - 1 < 20"), "rk")
+
+
+@query(vec_sql("SELECT q, c FROM ranked r WHERE rk = 1 AND c <> (SELECT gold FROM gold g WHERE g.q = r.q)"))
+def not_in_rank1(s, d):
+    return _ranked(s, d, 1).join(vectors(s, d)[2], "q").where("c <> gold").select("q", "c")
+
+
+@query(vec_sql("SELECT q, c, rk FROM ranked WHERE rk <= 10 AND q IN (SELECT g.q FROM gold g JOIN ranked r ON r.q = g.q AND r.c = g.gold WHERE r.rk <= 10)"))
+def ideal_test(s, d):
+    top, gold = _ranked(s, d, 10), vectors(s, d)[2]
+    ok = top.join(gold, "q").where("c = gold").select("q")
+    return _int(top.join(ok, "q", "left_semi").select("q", "c", "rk"), "rk")
+
+
+@query(vec_sql("SELECT q, round(max(score) - min(score), 6) AS gap FROM ranked WHERE rk <= 2 GROUP BY q"))
+def score_gap(s, d):
+    return evaluate.score_gap(_ranked(s, d, 2))
+
+
+@query(vec_sql("SELECT * FROM (SELECT q, rk, round(lead(score) OVER (PARTITION BY q ORDER BY rk) - score, 6) AS diff FROM ranked WHERE rk <= 50) WHERE diff IS NOT NULL"))
+def score_diffs(s, d):
+    return _int(evaluate.score_diffs(_ranked(s, d, 50)), "rk")
+
+
+@query(vec_sql("SELECT q, min({'d': diff, 'r': rk}).r AS cutoff FROM (SELECT q, rk, round(lead(score) OVER (PARTITION BY q ORDER BY rk) - score, 6) AS diff FROM ranked WHERE rk <= 50) WHERE diff IS NOT NULL GROUP BY q"))
+def cutoff_point(s, d):
+    return evaluate.cutoff_point(_ranked(s, d, 50))
+
+
+@query(vec_sql("SELECT q, coalesce(i - 1 + 2, n - 1) AS cutoff FROM (SELECT q, max(n) AS n, min(CASE WHEN rk - 1 < n - 3 AND m < 0 THEN {'m': m, 'r': rk} END).r AS i FROM (SELECT q, rk, count(*) OVER (PARTITION BY q) AS n, round((lead(score, 2) OVER (PARTITION BY q ORDER BY rk) - score) / 2, 8) AS m FROM ranked WHERE rk <= 50) GROUP BY q)"))
+def cutoff_moving_avg(s, d):
+    return evaluate.cutoff_moving(_ranked(s, d, 50))
+
+
+@query(vec_sql("SELECT bin, count(*) AS n, round(avg(p), 8) AS mean_prob, round(avg((label = dlabel)::INT), 8) AS mean_label FROM (SELECT *, (score + 1) / 2 AS p, floor((score + 1) / 2 * 10)::INT AS bin FROM sim) WHERE p >= 0 AND p < 1 GROUP BY bin"))
+def calibration_bins(s, d):
+    q, docs, _ = vectors(s, d)
+    r = _ranked(s, d).join(q.select(F.col("id").alias("q"), "label"), "q").join(docs.select(F.col("id").alias("c"), F.col("label").alias("dl")), "c")
+    return evaluate.calibration(r.select(((F.col("score") + 1) / 2).alias("prob"), (F.col("label") == F.col("dl")).alias("label").cast("int").alias("label")))
+
+
+@query(vec_sql("SELECT s.q, s.c, round(2 * score - r1 - r2, 8) AS csls FROM sim s JOIN (SELECT q, avg(score) AS r1 FROM ranked WHERE rk <= 10 GROUP BY q) a ON a.q = s.q JOIN (SELECT c, avg(score) AS r2 FROM (SELECT c, score, row_number() OVER (PARTITION BY c ORDER BY score DESC, q) AS n FROM sim) WHERE n <= 10 GROUP BY c) b ON b.c = s.c"))
+def csls(s, d):
+    return similarity.csls(_ranked(s, d).select("q", "c", "score"), 10)
+
+
+@query(vec_sql("SELECT count(DISTINCT c) AS candidates, max(n) AS most, min(n) AS least FROM (SELECT c, count(*) AS n FROM ranked WHERE rk <= 10 GROUP BY c)"))
+def candidate_multiplicity(s, d):
+    return _ranked(s, d, 10).groupBy("c").agg(F.count("*").alias("n")).agg(F.count("*").alias("candidates"), F.max("n").alias("most"), F.min("n").alias("least"))
+
+
+@query(vec_sql(f"SELECT q, c, rk, row_number() OVER (PARTITION BY q ORDER BY {HASH.format('q || chr(124) || c')}, c) AS ord FROM ranked WHERE rk <= 10"))
+def order_shuffle(s, d):
+    return _int(sampling.reorder(_ranked(s, d, 10).select("q", "c", "rk"), "shuffle"), "rk", "ord")
+
+
+@query(vec_sql("SELECT q, c, rk, row_number() OVER (PARTITION BY q ORDER BY rk DESC) AS ord FROM ranked WHERE rk <= 10"))
+def order_reverse(s, d):
+    return _int(sampling.reorder(_ranked(s, d, 10).select("q", "c", "rk"), "reverse"), "rk", "ord")
+
+
+@query(vec_sql("SELECT q, string_agg('(' || chr((96 + rk)::INT) || ') ' || c, chr(10) ORDER BY rk) AS choices FROM ranked WHERE rk <= 10 GROUP BY q"))
+def choice_prompts(s, d):
+    return verbalize.choices(_ranked(s, d, 10).withColumn("c", F.col("c").cast("string")), "q", "rk", "c")
+
+
+@query(vec_sql("SELECT r.q, r.c FROM ranked r WHERE rk BETWEEN 3 AND 20 AND r.c <> (SELECT gold FROM gold g WHERE g.q = r.q)"))
+def hard_negatives(s, d):
+    return _ranked(s, d, 20).where("rk between 3 and 20").join(vectors(s, d)[2], "q").where("c <> gold").select("q", "c")
+
+
+@query(vec_sql("SELECT q, c FROM ranked WHERE rk <= 10 AND c NOT IN (SELECT c FROM ranked WHERE rk = 1 AND q % 2 = 0)"))
+def candidate_filter(s, d):
+    top = _ranked(s, d, 10)
+    return top.join(top.where("rk = 1 and q % 2 = 0").select("c").distinct(), "c", "left_anti").select("q", "c")
+
+
+@query(vec_sql("SELECT q, round(ln(sum(exp(score / 0.5))) - max(CASE WHEN c = gold THEN score END) / 0.5, 6) AS loss FROM sim JOIN gold USING (q) GROUP BY q"))
+def infonce_loss(s, d):
+    r = _ranked(s, d).join(vectors(s, d)[2], "q")
+    return r.groupBy("q").agg(F.round(F.ln(F.sum(F.exp(F.col("score") / 0.5))) - F.max(F.when(F.col("c") == F.col("gold"), F.col("score"))) / 0.5, 6).alias("loss"))
+
+
+# --- sampling -------------------------------------------------------------------------------------
+
+
+@query(f"SELECT c_custkey FROM customer ORDER BY {HASH.format('c_custkey')}, c_custkey LIMIT 100")
+def sample_uniform(s, d):
+    return sampling.uniform(table(s, d, "customer").select("c_custkey"), "c_custkey", 100)
+
+
+@query(f"SELECT c_mktsegment, c_custkey FROM (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY {HASH.format('c_custkey')}, c_custkey) AS k, count(*) OVER (PARTITION BY c_mktsegment) AS m, count(*) OVER () AS n FROM customer) WHERE k <= floor(200 * m::DOUBLE / n)")
+def sample_stratified(s, d):
+    return sampling.stratified(table(s, d, "customer").select("c_mktsegment", "c_custkey"), "c_mktsegment", "c_custkey", 200).select("c_mktsegment", "c_custkey")
+
+
+def _weighted_sql(weight):
+    return vec_sql(f"SELECT q, c FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY draw, k) AS n FROM (SELECT q, c, q || chr(124) || c AS k, round(-ln(({HASH.format('q || chr(124) || c')} + 0.5) / 4294967296.0::DOUBLE) / {weight}, 8) AS draw FROM ranked WHERE rk <= 20)) WHERE n <= 5")
+
+
+def _weighted(s, d, weight):
+    key = F.concat(F.col("q").cast("string"), F.lit("|"), F.col("c").cast("string"))
+    return sampling.weighted(_ranked(s, d, 20), "q", key, weight, 5).select("q", "c")
+
+
+@query(_weighted_sql("(1 - (rk - 1) * 0.05::DOUBLE)"))
+def sample_linspace(s, d):
+    return _weighted(s, d, 1 - (F.col("rk") - 1) * 0.05)
+
+
+@query(_weighted_sql("power(0.5::DOUBLE, rk - 1)"))
+def sample_exponential(s, d):
+    return _weighted(s, d, F.pow(F.lit(0.5), F.col("rk") - 1))
+
+
+# --- voting and transport -------------------------------------------------------------------------
+
+
+@query("SELECT conv_id, cand, n FROM (SELECT conv_id, cand, n, row_number() OVER (PARTITION BY conv_id ORDER BY n DESC, first) AS k, sum(n) OVER (PARTITION BY conv_id) AS total FROM (SELECT conv_id, (turn * 7 + conv_id) % 3 AS cand, count(*) AS n, min(turn) AS first FROM conversations GROUP BY ALL)) WHERE k = 1 AND n > floor(total / 2)")
+def bootstrap_vote(s, d):
+    v = table(s, d, "conversations").select("conv_id", "turn", ((F.col("turn") * 7 + F.col("conv_id")) % 3).alias("cand"))
+    n = v.groupBy("conv_id", "cand").agg(F.count("*").alias("n"), F.min("turn").alias("first"))
+    w = Window.partitionBy("conv_id")
+    n = n.withColumn("k", F.row_number().over(w.orderBy(F.desc("n"), "first"))).withColumn("total", F.sum("n").over(w))
+    return n.where((F.col("k") == 1) & (F.col("n") > F.floor(F.col("total") / 2))).select("conv_id", "cand", "n")
+
+
+@query("SELECT vec_id, CASE WHEN label % 2 = 1 THEN 'aligned' WHEN prev IS NOT NULL AND prev + 1 >= 2 THEN 'killed' ELSE 'uncertain' END AS state, CASE WHEN label % 2 = 1 THEN 0 ELSE coalesce(prev, 0) + 1 END AS n FROM (SELECT vec_id, label, CASE WHEN vec_id % 3 = 0 THEN 1 END AS prev FROM embeddings)")
+def pool_step(s, d):
+    e = table(s, d, "embeddings").select("vec_id", "label", F.when(F.col("vec_id") % 3 == 0, 1).alias("prev"))
+    ok = F.col("label") % 2 == 1
+    state = F.when(ok, "aligned").when(F.col("prev").isNotNull() & (F.col("prev") + 1 >= 2), "killed").otherwise("uncertain")
+    return e.select("vec_id", state.alias("state"), F.when(ok, 0).otherwise(F.coalesce("prev", F.lit(0)) + 1).alias("n"))
+
+
+SMALL = "e1 AS (SELECT head, rel, tail FROM rel WHERE kg = 1 AND rel NOT LIKE '%boughtPart'), e2 AS (SELECT head, rel, tail FROM rel WHERE kg = 2 AND rel NOT LIKE '%purchasedItem'), anc AS (SELECT 'http://kg1.example.org/resource/' || e AS e1, 'http://kg2.example.org/resource/' || e AS e2 FROM shared)"
+
+
+def _small(s, d):
+    r = relations(s, d).where("rel not like '%boughtPart' and rel not like '%purchasedItem'")
+    e = _links(s, d)
+    anchors = e.select(F.concat(F.lit("http://kg1.example.org/resource/"), "e").alias("e1"), F.concat(F.lit("http://kg2.example.org/resource/"), "e").alias("e2"))
+    return r.where("kg = 1").drop("kg"), r.where("kg = 2").drop("kg"), anchors
+
+
+@query(kg_sql(f", {SHARED}, {SMALL} SELECT e1.rel AS rel1, e2.rel AS rel2, count(*) AS n FROM e1 JOIN anc h ON e1.head = h.e1 JOIN anc t ON e1.tail = t.e1 JOIN e2 ON e2.head = h.e2 AND e2.tail = t.e2 GROUP BY ALL"))
+def relation_cooccurrence(s, d):
+    a, b, anchors = _small(s, d)
+    return transport.relation_cooccurrence(anchors, a, b)
+
+
+@query(kg_sql(f", {SHARED}, {SMALL} SELECT rel1, rel2 FROM (SELECT *, row_number() OVER (PARTITION BY rel1 ORDER BY n DESC, rel2) AS k FROM (SELECT e1.rel AS rel1, e2.rel AS rel2, count(*) AS n FROM e1 JOIN anc h ON e1.head = h.e1 JOIN anc t ON e1.tail = t.e1 JOIN e2 ON e2.head = h.e2 AND e2.tail = t.e2 GROUP BY ALL)) WHERE k = 1"))
+def relation_alignment(s, d):
+    a, b, anchors = _small(s, d)
+    return transport.relation_alignment(transport.relation_cooccurrence(anchors, a, b))
+
+
+@query(kg_sql(f", {SHARED}, {SMALL} SELECT a.tail AS n1, b.tail AS n2, count(*) AS votes FROM anc JOIN e1 a ON a.head = e1 JOIN e2 b ON b.head = e2 WHERE anc.e1 LIKE '%Customer%' GROUP BY ALL"))
+def structural_votes(s, d):
+    a, b, anchors = _small(s, d)
+    side = lambda x: x.select(F.col("head").alias("a"), F.col("tail").alias("b"))
+    return transport.structural_votes(anchors.where("e1 like '%Customer%'"), side(a), side(b))
+
+
+def _plan(s, d, proximal):
+    cost = _ranked(s, d).select("q", "c", (1 - F.col("score")).alias("cost"))
+    return transport.sinkhorn(cost, 10, 0.1, proximal)
+
+
+@query()
+def sinkhorn_proximal(s, d):
+    return _plan(s, d, True).select("q", "c", F.round("p", 10).alias("p"))
+
+
+@query()
+def sinkhorn_classic(s, d):
+    return _plan(s, d, False).select("q", "c", F.round("p", 10).alias("p"))
+
+
+@query()
+def ot_metrics(s, d):
+    p = _plan(s, d, True).withColumn("rk", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("p"), "c")))
+    return evaluate.hits(evaluate.gold_rank(p, vectors(s, d)[2]))
+
+
+@query(vec_sql("SELECT min(q) AS q, c FROM ranked WHERE rk = 1 AND score > (SELECT max(score) FROM ranked) - 0.3 GROUP BY c"))
+def anchors(s, d):
+    return transport.anchors(_ranked(s, d).select("q", "c", F.col("score").alias("p")), 0.3)
+
+
+@query(vec_sql(", f AS (SELECT min(q) AS q, c FROM ranked WHERE rk = 1 AND score > (SELECT max(score) FROM ranked) - 0.3 GROUP BY c), x AS (SELECT count(*)::DOUBLE AS total, count(g.q)::DOUBLE AS ok FROM f LEFT JOIN gold g ON g.q = f.q AND g.gold = f.c), y AS (SELECT coalesce(ok / nullif(total, 0), 0) AS p, ok / (SELECT count(*) FROM gold) AS r FROM x) SELECT round(p, 8) AS precision, round(r, 8) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 8) AS f1 FROM y"))
+def anchor_prf(s, d):
+    return transport.precision(anchors(s, d), vectors(s, d)[2])
+
+
+@query(vec_sql(", f AS (SELECT min(q) AS q, c FROM ranked WHERE rk = 1 AND score > (SELECT max(score) FROM ranked) - 0.3 GROUP BY c), t AS (SELECT q, gold AS c FROM gold WHERE q % 4 = 0) SELECT * FROM f WHERE q NOT IN (SELECT q FROM t) AND c NOT IN (SELECT c FROM t) UNION ALL SELECT * FROM t"))
+def anchor_override(s, d):
+    return transport.override(anchors(s, d), vectors(s, d)[2].where("q % 4 = 0").select("q", F.col("gold").alias("c")))
