@@ -1,0 +1,227 @@
+"""Brute-force comparisons, round trips and edge cases of the ten operators."""
+
+import itertools
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from lodeweave.llm import bbit_minhash, decontaminate, entropy_mix, hash_tree, language_id, pii_bootstrap, quality_rules, quote_linking, substring_dedup, token_codec, token_files
+from lodeweave.llm.components import connected_components
+from lodeweave.llm.queries import tokenizer_path
+
+SF = "/root/testdata/sf0.001"
+ODD = [(9001, None, "en", None, None), (9002, "", None, "src0", 0), (9003, " \n\t ", "en", "src0", 4), (9004, "one", "en", "src0", 3), (9004, "one", "en", "src0", 3), (None, "a text without an id of eight words", "en", "src1", 5), (9005, "word " * 30000, "en", "src1", 5), (9006, "12 34 !!", "en", "src1", 8)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    base = spark.read.parquet(f"{SF}/documents.parquet")
+    return base.unionByName(spark.createDataFrame(ODD, base.schema)).withColumn("kept", F.lit(1)).withColumn("base", F.lit("x")).cache()
+
+
+@pytest.fixture(scope="module")
+def local(docs):
+    return [(r["doc_id"], r["text"], r["source"]) for r in docs.select("doc_id", "text", "source").collect()]
+
+
+def words(t):
+    return re.findall(r"[^\x20\x09-\x0D]+", t or "")
+
+
+def test_components(spark):
+    pairs = [(1, 2), (2, 3), (3, 4), (10, 11), (11, 11), (4, 1), (50, 40), (40, 30), (30, 20), (None, 7)] + [(1000, 1000 + i) for i in range(1, 300)]
+    got = dict(connected_components(spark.createDataFrame(pairs, "a long, b long")).collect())
+    assert {got[k] for k in (1, 2, 3, 4)} == {1} and {got[k] for k in (20, 30, 40, 50)} == {20} and got[1299] == 1000 and 7 not in got
+    assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_near_duplicates_against_brute_force(docs, local):
+    got = {r["doc_id"]: r for r in bbit_minhash.near_duplicates(docs, shingle=4).collect()}
+    sets = {}
+    for i, t, _ in local:
+        w = words(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets[i] = set(zip(*[w[k:] for k in range(4)], strict=False)) if len(w) >= 4 else ({tuple(w)} if w else set())
+    root = {i: i for i in sets if i is not None}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in itertools.combinations(root, 2):
+        both = len(sets[a] & sets[b])
+        if both and 100 * both >= 80 * len(sets[a] | sets[b]):
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    for i in root:
+        assert (got[i]["n_shingles"], got[i]["component_id"]) == (len(sets[i]), find(i))
+    assert got[None]["component_id"] is None and got[None]["kept"]
+    assert len(got) == len({i for i, _, _ in local})
+
+
+def test_quality_against_brute_force(docs, local):
+    got = {r["doc_id"]: r for r in quality_rules.line_rules(docs, limit=5).collect()}
+    for i, t, _ in local:
+        w, seen, cover = words(t), {}, set()
+        for k in range(len(w) - 4):
+            seen.setdefault(tuple(w[k : k + 5]), []).append(k)
+        for at in seen.values():
+            if len(at) > 1:
+                for k in at:
+                    cover.update(range(k, k + 5))
+        lines = [x for x in (t or "").split("\n") if words(x)]
+        r = got[i]
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), len(lines) - len(set(lines)), len(cover))
+        assert r["base_failed"] == (len(w) < 10 or 100 * len(cover) > 20 * len(w))
+
+
+def test_common_lines_go(spark):
+    rows = [(i, f"this line is in all of them\nown words of number {i} " + "abc " * 10, "h") for i in range(8)] + [(100, "this line is in all of them\nx", "h"), (101, "this line is in all of them\nmore words of another host here", None)]
+    got = {r["doc_id"]: r for r in quality_rules.line_rules(spark.createDataFrame(rows, "doc_id long, text string, source string"), limit=5).collect()}
+    assert got[0]["n_removed_lines"] == 1 and "all of them" not in got[0]["clean_text"] and not got[0]["depleted"]
+    assert got[100]["depleted"] and not got[100]["kept"] and got[101]["n_removed_lines"] == 0
+
+
+def test_shards(docs):
+    tree = hash_tree.even_tree(24)
+    got = hash_tree.assign(docs, tree, tree.grow("region0", "rack0", 24), block_rows=3).toPandas()
+    assert len(got) == docs.count()
+    assert ((got.grown_shard == got.shard) | (got.grown_shard == 24)).all()
+    for _, slots in got.groupby("shard").slot:
+        assert sorted(slots) == list(range(len(slots)))
+
+
+def test_changed_weight_moves_only_its_subtree(spark):
+    ids = spark.range(3000).withColumnRenamed("id", "doc_id").withColumn("text", F.lit("x"))
+    tree = hash_tree.even_tree(24)
+    heavier = hash_tree.even_tree(24)
+    heavier.weights["region1"]["rack2"][7] = 4.0
+    a, b = (hash_tree.assign(ids, t).toPandas().set_index("doc_id") for t in (tree, heavier))
+    moved = a.shard != b.shard
+    assert moved.any() and (b.region[moved] == "region1").all()
+    inside = moved & (a.region == "region1")
+    assert (b.rack[inside] == "rack2").all()
+
+
+def test_language(docs):
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+    model = language_id.fit(docs.where(~held), "text", "lang")
+    got = language_id.predict(docs.withColumn("held", held), model).toPandas()
+    real = got[(got.doc_id < 9000) & got.held]
+    assert (real.lang == real.lang_pred).mean() > 0.98 and got.score.between(0, 1).all()
+    assert set(got[got.doc_id.isin([9001, 9002, 9003, 9006])].lang_pred) == {"und"}
+    assert (got[got.doc_id != got.doc_id].lang_pred == "en").all()
+
+
+def test_personal_data_against_re(docs, local, spark):
+    rules = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+    extra = "a@b.c.d@e.f 1.2.3.4.5 300.1.1.1 é +1 (234) 567-8901 4111 1111 1111 1111 9 a.b@c_d@e.f"
+
+    def luhn(d):
+        return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+
+    def spans(t):
+        out = []
+        for k, (name, rx) in enumerate(rules.items()):
+            for m in re.finditer(rx, t or ""):
+                d = re.sub("[^0-9]", "", m[0])
+                if (name == "ip" and max(map(int, m[0].split("."))) > 255) or (name == "card" and not (14 <= len(d) <= 19 and luhn(d))) or (name == "phone" and not 10 <= len(d) <= 15):
+                    continue
+                out.append((m.start(), k, m.end()))
+        return ",".join(f"{list(rules)[k]}:{s}:{e}" for s, k, e in sorted(out))
+
+    got = pii_bootstrap.extract(docs.select("doc_id", "text").unionByName(spark.createDataFrame([(9999, extra)], "doc_id long, text string"))).select("doc_id", "text", pii_bootstrap.describe(F.col("base")).alias("b")).collect()
+    assert len(got) == len(local) + 1 and all(r["b"] == spans(r["text"]) for r in got)
+
+
+def test_patterns_find_unseen(spark):
+    rows = [(i, f"text {i} please call contact number +1 (23{i}) 567-8901 today") for i in range(6)] + [(50, "please call contact number 55512345 today"), (51, "an order of 55599999 pieces")]
+    got = {r["doc_id"]: r["a"] for r in pii_bootstrap.extract(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", pii_bootstrap.describe(F.col("added")).alias("a")).collect()}
+    assert got[50] == "phone:27:35" and got[51] == "" and got[0] == ""
+
+
+def test_mix(docs):
+    got = entropy_mix.mix(docs, block_rows=50).toPandas()
+    again = entropy_mix.mix(docs.repartition(7), block_rows=50).toPandas()
+    key = ["doc_id", "source", "size", "taken"]
+    assert len(got) == docs.count() and (got.taken <= 2 * got["size"]).all()
+    assert sorted(map(str, got[key].values.tolist())) == sorted(map(str, again[key].values.tolist()))
+    total = got["size"].sum()
+    per = got.groupby("source", dropna=False).agg(target=("target", "first"), taken=("taken", "sum"), size=("size", "sum"), big=("size", "max"))
+    assert abs(per.target.sum() - min(1.5 * total, per.target.sum())) < 1 and (per.target <= 2 * per["size"] + 1e-6).all()
+
+
+def test_decontamination(spark):
+    item = "The quick brown fox jumps over the lazy dog and runs far away into the deep dark wood"
+    changed = item.replace("lazy", "sleepy").replace("deep ", "").lower()
+    rows = [(1, f"before words {item} after"), (2, f"x {changed}, y"), (3, "The quick brown fox is all that is alike here"), (4, None), (5, ""), (6, item)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(7, item), (8, "too short"), (9, None), (7, item)], "item_id long, text string")
+    got = {r["doc_id"]: r for r in decontaminate.find(docs, bench).collect()}
+    assert set(got) == {1, 2, 6} and got[1]["distance"] == 0 and got[2]["distance"] == 2
+    assert (got[1]["start_word"], got[1]["end_word"]) == (2, 19)
+    assert decontaminate.find(docs, bench, block_items=1).count() == 3
+
+
+def test_myers_is_edit_distance():
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        p, t = rng.integers(0, 4, rng.integers(1, 12)).tolist(), rng.integers(0, 4, rng.integers(1, 20)).tolist()
+        row = [0] * (len(t) + 1)
+        for i, a in enumerate(p, 1):
+            new = [i]
+            for j, b in enumerate(t, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (a != b)))
+            row = new
+        assert decontaminate.myers(decontaminate._masks(np.array(p)), len(p), t)[0] == min(row)
+
+
+def test_codec_round_trip():
+    rng = np.random.default_rng(4)
+    blocks = [rng.integers(0, 65536, n) for n in (1, 0, 700, 33)] + [np.zeros(500, int), np.arange(300) % 3, (rng.zipf(1.3, 900) % 65536)]
+    coded = token_codec.encode(blocks)
+    assert all((a == b).all() for a, b in zip(blocks, token_codec.decode(coded), strict=True))
+    assert len(coded[4]) < 200
+    with pytest.raises(ValueError):
+        token_codec.decode([coded[2][:-1] + bytes([coded[2][-1] ^ 1])])
+
+
+def test_token_files(docs, local):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenizer_path())
+    got = token_files.round_trip(docs, tokenizer_path()).orderBy("start").collect()
+    assert len(got) == len(local)
+    want, at = {}, 0
+    for i, x, _ in local:
+        ids = np.array([*t.encode(x or "", add_special_tokens=False).ids, 0], "<u4")
+        want[i] = (len(ids), zlib.crc32(ids.tobytes()))
+    for r in got:
+        assert r["start"] == at and (r["n_tokens"], r["ids_crc32"]) == want[r["doc_id"]]
+        at += r["n_tokens"]
+    assert [r["doc_id"] for r in got if r["doc_id"] is not None] == sorted(i for i, _, _ in local if i is not None)
+
+
+def test_passages(spark):
+    rng = np.random.default_rng(5)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
+    passage = word(70)
+    altered = [*passage[:35], "other", *passage[36:]]
+    rows = [(1, word(80) + passage + word(90)), (2, word(33) + altered + word(60)), (3, word(200)), (4, word(100) + passage), (5, word(120) + passage[:20] + word(100))]
+    text = {i: " ".join(w) for i, w in rows}
+    text[6] = text[3]
+    docs = spark.createDataFrame([*text.items(), (7, None), (8, "short")], "doc_id long, text string")
+    got = substring_dedup.repeated_passages(docs).collect()
+    assert {r["doc_id"] for r in got} == {1, 2, 3, 4, 6}
+    assert {r["doc_id"] for r in got if r["removed"]} >= {4, 6}
+    assert not any(r["removed"] for r in got if r["doc_id"] in (1, 3))
+
+
+def test_quotes(spark):
+    rows = [(1, 0, "Hello there my friend\nHow are you"), (1, 1, "> hello there  my friend\nI am fine"), (1, 2, "On Mon, X wrote:\n> I am fine\n>> Hello there my friend\nGood"), (1, 3, None), (2, 0, "> I am fine\nx"), (None, None, "> q")]
+    got = {(r["conv_id"], r["turn"]): r for r in quote_linking.link(spark.createDataFrame(rows, "conv_id long, turn long, text string").withColumn("role", F.lit("user"))).collect()}
+    assert (got[1, 2]["reply_to"], got[1, 2]["thread"], got[1, 2]["depth"], got[1, 2]["clean_text"]) == (1, 0, 2, "Good")
+    assert got[1, 1]["clean_text"] == "I am fine" and got[2, 0]["reply_to"] is None and len(got) == 6
