@@ -5,12 +5,18 @@
 2. Texts with equal shingle sets fall together on a 128-bit fingerprint of the set
    (aggregated before the shuffle, so a group of copies is one row from here on).
 3. Band keys give buckets.  A bucket is not paired out: every member meets one hub,
-   drawn by hash anew for each bucket, so at most ``bands`` pairs a class.  The packed
-   bits of both sides give a collision-corrected similarity, and only what comes near
-   the threshold is confirmed on the full sets.
+   the member whose buckets hold most rows in all (an unchanged original, as a rule), so
+   at most ``bands`` pairs a class.  The packed bits of both sides give a
+   collision-corrected similarity, and only what comes near the threshold is confirmed
+   on the full sets.
 4. Confirmed links become components.  Only members of a bucket that are still in
-   different components are compared by their packed bits among themselves, inside the
-   join, so that no candidate is lost and nothing is confirmed twice.
+   different components can hold more links.  Buckets of at most PAIRED rows compare
+   them by their packed bits, inside the join.  In larger ones a shingle is rare if at
+   most RARE of their sets hold it.  Two sets either share a rare shingle (an equi-join
+   of at most RARE rows a key) or have only their other shingles in common, whose count
+   bounds the intersection exactly; rows that can reach the threshold with nobody go
+   before the join.  So no candidate is lost, no group is paired out and nothing is
+   confirmed twice.
 """
 
 from __future__ import annotations
@@ -27,6 +33,10 @@ from .components import connected_components
 
 BITS = 4
 PER_LONG = 64 // BITS
+#: Members of a bucket that are compared pair by pair; larger buckets go by their rare shingles.
+PAIRED = 32
+#: A shingle is rare if it stands in at most so many sets of large buckets.
+RARE = 16
 
 
 class Signer:
@@ -192,11 +202,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("id").alias(id_col), "n_shingles", F.col("component").alias("component_id"), F.coalesce(F.col("component") == F.col("id"), F.lit(True)).alias("kept"))
 
 
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, shingle) for every element of (id, hashes)."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            own = np.frombuffer(batch.column(1)[k].as_py(), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), batch.column(0)[k].as_py(), np.int64)), pa.array(own)], names=["id", "shingle"])
+
+
 def _class_links(spark, own, classes, shingle, percent, bands, rows, margin) -> DataFrame:
+    """Pairs of class ids that span the components of all links."""
     longs = bands * rows // PER_LONG
     member = classes.select("id", F.explode("keys").alias("key"))
-    shared = materialize(member.groupBy("key").agg(F.count("*").alias("n"), F.min_by("id", F.xxhash64("id", "key")).alias("hub")).where("n > 1").select("key", "hub"))
-    member = materialize(member.join(shared, "key"))
+    member = materialize(member.join(member.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"))
+    central = member.groupBy("id").agg(F.sum("n").alias("score"))
+    hub = member.join(central, "id").groupBy("key").agg(F.max_by("id", F.struct("score", F.xxhash64("id"), "id")).alias("hub"))
     sig = classes.select("id", "n_shingles", "packed")
 
     def near(x: str, y: str, n: str, m: str) -> Column:
@@ -204,7 +224,7 @@ def _class_links(spark, own, classes, shingle, percent, bands, rows, margin) ->
         sizes = 100 * F.least(n, m) >= percent * F.greatest(n, m)
         return sizes & (estimate(F.col(x), F.col(y), longs) >= percent / 100 - margin)
 
-    hubs = member.where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+    hubs = member.join(hub, "key").where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
     x = hubs.join(sig.select(F.col("id").alias("a"), F.col("n_shingles").alias("na"), F.col("packed").alias("pa")), "a")
     y = x.join(sig.select(F.col("id").alias("b"), F.col("n_shingles").alias("nb"), F.col("packed").alias("pb")), "b")
     found = materialize(y.where(near("pa", "pb", "na", "nb")).select("a", "b"))
@@ -218,17 +238,39 @@ def _class_links(spark, own, classes, shingle, percent, bands, rows, margin) ->
         return materialize(made.select("id", "hashes").dropDuplicates(["id"]))
 
     sets = full_sets(found.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    links = materialize(confirm(found, sets, percent))
+    links = confirm(found, sets, percent)
     label = connected_components(links).select(F.col("node").alias("id"), F.col("component").alias("c"))
 
     # members of a bucket that no hub has brought together: the pairs between components
-    part = materialize(member.select("key", "id").join(label, "id", "left").select("key", "id", F.coalesce("c", "id").alias("c")))
-    apart = materialize(part.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key"))
+    part = materialize(member.join(label, "id", "left").select("key", "id", "n", F.coalesce("c", "id").alias("c")))
+    apart = part.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
     part = materialize(part.join(apart, "key").join(sig, "id"))
-    other = part.select(F.col("key").alias("k"), F.col("id").alias("i"), F.col("c").alias("d"), F.col("n_shingles").alias("n"), F.col("packed").alias("p"))
-    between = part.join(other, (part["key"] == other["k"]) & (part["id"] < other["i"]) & (part["c"] != other["d"]) & near("packed", "p", "n_shingles", "n"))
-    rest = between.select(F.col("id").alias("a"), F.col("i").alias("b")).distinct().join(found, ["a", "b"], "left_anti")
-    rest = materialize(rest)
+
+    def other(rows: DataFrame, on: str) -> DataFrame:
+        return rows.select(F.col(on).alias("_on"), F.col("id").alias("i"), F.col("c").alias("d"), F.col("n_shingles").alias("m"), F.col("packed").alias("p"), *[F.col(c).alias("common_") for c in rows.columns if c == "common"])
+
+    def between(rows: DataFrame, on: str, also: Column | None = None) -> DataFrame:
+        test = (F.col(on) == F.col("_on")) & (F.col("id") < F.col("i")) & (F.col("c") != F.col("d")) & near("packed", "p", "n_shingles", "m")
+        both = rows.join(other(rows, on), test if also is None else test & also)
+        return both.select(F.col("id").alias("a"), F.col("i").alias("b"))
+
+    # large buckets: a pair shares a rare shingle, or its other shingles alone must reach the threshold
+    large = part.where(F.col("n") > PAIRED)
+    open_ids = large.select("id", "c", "n_shingles", "packed").distinct()
+    large_sets = full_sets(large.select("id").distinct())
+    posting = materialize(large_sets.mapInArrow(_postings, "id long, shingle long"))
+    rare = posting.join(posting.groupBy("shingle").agg(F.count("*").alias("df")).where(F.col("df") <= RARE), "shingle")
+    rare = materialize(rare)
+    common = rare.groupBy("id").agg(F.count("*").alias("u"))
+    large = large.join(common, "id", "left").withColumn("common", F.col("n_shingles") - F.coalesce("u", F.lit(0)))
+    least = large.groupBy("key").agg(F.min("n_shingles").alias("least"))
+    need = (100 + percent) * F.col("common") >= percent * (F.col("n_shingles") + F.col("least"))
+    large = materialize(large.join(least, "key").where(need).select("key", "id", "c", "n_shingles", "packed", "common"))
+    enough = (100 + percent) * F.least("common", "common_") >= percent * (F.col("n_shingles") + F.col("m"))
+    sharing = rare.where("df > 1").join(open_ids, "id")
+    rest = between(part.where(F.col("n") <= PAIRED), "key").unionByName(between(large, "key", enough)).unionByName(between(sharing, "shingle"))
+    rest = materialize(rest.distinct().join(found, ["a", "b"], "left_anti"))
     more = rest.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(sets.select("id"), "id", "left_anti")
-    sets = sets.unionByName(full_sets(materialize(more)))
-    return links.unionByName(materialize(confirm(rest, sets, percent)))
+    sets = sets.unionByName(full_sets(more))
+    stars = label.where("id <> c").select(F.col("id").alias("a"), F.col("c").alias("b"))
+    return stars.unionByName(confirm(rest, sets, percent))

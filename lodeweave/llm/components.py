@@ -13,10 +13,8 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 
-def _star(edges: DataFrame) -> DataFrame:
-    """Each node's smallest neighbour or itself; edges are (u, v) with v < u."""
-    both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+def _both(edges: DataFrame) -> DataFrame:
+    return edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
 
 def connected_components(pairs: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 40) -> DataFrame:
@@ -28,21 +26,17 @@ def connected_components(pairs: DataFrame, a: str = "a", b: str = "b", max_round
     a, b = pairs[a], pairs[b]
     edges = materialize(pairs.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"), a.alias("_a"), b.alias("_b")).where("_a is not null and _b is not null and u <> v").select("u", "v").distinct())
     for _ in range(max_rounds):
+        # settled: every node has one edge down at most, and no smaller node has one
+        ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("down"), F.lit(1).alias("up")))
+        if ends.groupBy("x").agg(F.sum("down").alias("d"), F.max("up").alias("p")).where("d > 1 or (d = 1 and p = 1)").isEmpty():
+            break
         # large star: all larger neighbours of a node go to its minimum
-        low = _star(edges)
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = materialize(large)
+        low = _both(edges).groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = materialize(_both(edges).where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         # small star: a node and its smaller neighbours go to the smallest of them
-        least = materialize(large.groupBy("u").agg(F.min("v").alias("m")))
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = small.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        small = materialize(small)
-        roots = small.agg(F.count("*").alias("n"), F.countDistinct("u").alias("d")).first()
-        inner = small.join(small.select(F.col("u").alias("v")).distinct(), "v", "left_semi").limit(1).count()
-        edges = small
-        if roots["n"] == roots["d"] and not inner:
-            break
+        edges = materialize(small.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -38,6 +38,32 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize(("paired", "rare"), [(1, 1), (1, 3), (4, 16)])
+def test_near_duplicates_of_a_large_group(spark, monkeypatch, paired, rare):
+    """Copies of one text with up to 14 changed words, drawn from few and many: no link is lost in a large bucket."""
+    monkeypatch.setattr(bbit_minhash, "PAIRED", paired)
+    monkeypatch.setattr(bbit_minhash, "RARE", rare)
+    rng = np.random.default_rng(4)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(160):
+        text = list(base)
+        for at in rng.choice(150, int(rng.integers(0, 15)), replace=False):
+            text[at] = f"x{rng.integers(3 if i % 2 else 10**6)}"
+        rows.append((i, " ".join(text)))
+    sets = [set(zip(*[t.split()[k:] for k in range(5)], strict=False)) for _, t in rows]
+    root = list(range(len(rows)))
+    for _ in range(len(rows)):
+        before = list(root)
+        for a, b in itertools.combinations(range(len(rows)), 2):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                root[a] = root[b] = min(root[a], root[b])
+        if root == before:
+            break
+    got = {r["doc_id"]: r["component_id"] for r in bbit_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == dict(enumerate(root)) and len(set(root)) > 20
+
+
 def test_near_duplicates_against_brute_force(docs, local):
     got = {r["doc_id"]: r for r in bbit_minhash.near_duplicates(docs, shingle=4).collect()}
     sets = {}
