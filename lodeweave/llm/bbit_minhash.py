@@ -247,7 +247,7 @@ def _class_links(spark, own, classes, shingle, percent, bands, rows, margin) ->
     part = materialize(part.join(apart, "key").join(sig, "id"))
 
     def other(rows: DataFrame, on: str) -> DataFrame:
-        return rows.select(F.col(on).alias("_on"), F.col("id").alias("i"), F.col("c").alias("d"), F.col("n_shingles").alias("m"), F.col("packed").alias("p"), *[F.col(c).alias("common_") for c in rows.columns if c == "common"])
+        return rows.select(F.col(on).alias("_on"), F.col("id").alias("i"), F.col("c").alias("d"), F.col("n_shingles").alias("m"), F.col("packed").alias("p"), *[F.col(c).alias(f"{c}_") for c in rows.columns if c in ("common", "keys")])
 
     def between(rows: DataFrame, on: str, also: Column | None = None) -> DataFrame:
         test = (F.col(on) == F.col("_on")) & (F.col("id") < F.col("i")) & (F.col("c") != F.col("d")) & near("packed", "p", "n_shingles", "m")
@@ -265,8 +265,10 @@ def _class_links(spark, own, classes, shingle, percent, bands, rows, margin) ->
     large = large.join(common, "id", "left").withColumn("common", F.col("n_shingles") - F.coalesce("u", F.lit(0)))
     least = large.groupBy("key").agg(F.min("n_shingles").alias("least"))
     need = (100 + percent) * F.col("common") >= percent * (F.col("n_shingles") + F.col("least"))
-    large = materialize(large.join(least, "key").where(need).select("key", "id", "c", "n_shingles", "packed", "common"))
+    large = large.join(least, "key").where(need).join(classes.select("id", "keys"), "id")
+    large = materialize(large.select("key", "id", "c", "n_shingles", "packed", "common", "keys"))
     enough = (100 + percent) * F.least("common", "common_") >= percent * (F.col("n_shingles") + F.col("m"))
+    enough = enough & (F.array_intersect("keys", "keys_")[0] == F.col("key"))  # once, in the first bucket of both
     sharing = rare.where("df > 1").join(open_ids, "id")
     rest = between(part.where(F.col("n") <= PAIRED), "key").unionByName(between(large, "key", enough)).unionByName(between(sharing, "shingle"))
     rest = materialize(rest.distinct().join(found, ["a", "b"], "left_anti"))
