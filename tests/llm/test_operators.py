@@ -251,3 +251,20 @@ def test_quotes(spark):
     got = {(r["conv_id"], r["turn"]): r for r in quote_linking.link(spark.createDataFrame(rows, "conv_id long, turn long, text string").withColumn("role", F.lit("user"))).collect()}
     assert (got[1, 2]["reply_to"], got[1, 2]["thread"], got[1, 2]["depth"], got[1, 2]["clean_text"]) == (1, 0, 2, "Good")
     assert got[1, 1]["clean_text"] == "I am fine" and got[2, 0]["reply_to"] is None and len(got) == 6
+
+
+def test_alike_against_brute_force():
+    rng = np.random.default_rng(9)
+    w, n = 8, 400
+    x = rng.integers(1, 40, (n, 2 * w - 1)).astype(np.uint32)
+    y = np.where(rng.random(x.shape) < 0.07, rng.integers(1, 40, x.shape), x).astype(np.uint32)
+    y[::3] = np.roll(y[::3], 1, axis=1)
+    x[::5, :3] = 0
+    hit, _ = substring_dedup.alike(x, y, w)
+
+    def best(a, b):
+        cut = [[set(v[i : i + w].tolist()) for i in range(w) if v[i : i + w].all()] for v in (a, b)]
+        return any(10 * len(s & t) >= 8 * len(s | t) for s in cut[0] for t in cut[1])
+
+    want = np.array([best(a, b) for a, b in zip(x, y, strict=True)])
+    assert (hit == want).all() and 20 < want.sum() < 380
