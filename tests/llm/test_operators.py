@@ -282,6 +282,21 @@ def test_passage_recall_at_the_threshold(spark):
     assert all(i % 2 for i in got) and len(got) >= 198
 
 
+@pytest.mark.parametrize("paired", [4, 1000])
+def test_variants_of_a_passage_meet(spark, monkeypatch, paired):
+    """100 variants of one passage, each alike only to the original, end in the original's component, in small and large groups."""
+    monkeypatch.setattr(substring_dedup, "PAIRED", paired)
+    rng = np.random.default_rng(8)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
+    passage = word(55)
+    rows = [(0, " ".join(word(60) + passage + word(60)))]
+    for k in range(1, 101):
+        at = int(rng.integers(0, 55))
+        rows.append((k, " ".join(word(60) + passage[:at] + [f"x{k}"] + passage[at + 1 :] + word(60))))
+    got = substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).where("removed and keeper_id = 0").select("doc_id").distinct().count()
+    assert got >= 99
+
+
 def test_alike_against_brute_force():
     rng = np.random.default_rng(9)
     w, n = 8, 400
