@@ -488,6 +488,31 @@ def structural_votes(s, d):
     return transport.structural_votes(anchors.where("e1 like '%Customer%'"), side(a), side(b))
 
 
+def _whole(s, d):
+    """Both graphs with every relation, and every anchor."""
+    r, e = relations(s, d), _links(s, d)
+    anchors = e.select(F.concat(F.lit("http://kg1.example.org/resource/"), "e").alias("e1"), F.concat(F.lit("http://kg2.example.org/resource/"), "e").alias("e2"))
+    return r.where("kg = 1"), r.where("kg = 2"), anchors
+
+
+@query()
+def relation_cooccurrence_all(s, d):
+    a, b, anchors = _whole(s, d)
+    return transport.relation_cooccurrence(anchors, a.drop("kg"), b.drop("kg"))
+
+
+@query()
+def relation_alignment_all(s, d):
+    a, b, anchors = _whole(s, d)
+    return transport.relation_alignment(transport.relation_cooccurrence(anchors, a.drop("kg"), b.drop("kg")))
+
+
+@query()
+def structural_votes_all(s, d):
+    a, b, anchors = _whole(s, d)
+    return transport.structural_votes(anchors, graph.undirected(a).drop("kg"), graph.undirected(b).drop("kg"))
+
+
 def _plan(s, d, proximal):
     cost = _ranked(s, d).select("q", "c", (1 - F.col("score")).alias("cost"))
     return transport.sinkhorn(cost, 10, 0.1, proximal)
