@@ -22,6 +22,10 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: A word with a digit in it.
 TOKEN = r"(?<![^\x20\x09-\x0D])[^0-9\x20\x09-\x0D]*+[0-9][^\x20\x09-\x0D]*+"
+#: Digit groups that adjoin, with blanks, brackets, dots, slashes or dashes between them.
+GROUPS = r"(?<![^\x20\x09-\x0D])[+(]?[0-9]++(?![A-Za-z])(?:(?:\x20?[()]\x20?|\x20?[/-]\x20?|[.\x20])[0-9]++(?![A-Za-z]))*+"
+#: Words that read like an address: with a spelt-out or bracketed "at", or an "@" that is no email of the base.
+ADDRESS = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:@[A-Za-z0-9-]++|\x20?(?:[(\[{<]\x20?(?:at|AT|@)\x20?[)\]}>]|(?<=\x20)at(?=\x20))\x20?[A-Za-z0-9-]++(?:(?:\x20?[(\[{<]\x20?(?:dot|DOT|\.)\x20?[)\]}>]\x20?|\x20dot\x20|\.)[A-Za-z0-9-]++)++)"
 CONTEXT = 64
 
 
@@ -74,18 +78,39 @@ def base_spans(text: Column) -> Column:
 
 
 def candidates(text: Column, spans: Column) -> Column:
-    """Identifier-like tokens outside the spans: at least 6 letters and digits, 4 of them digits."""
+    """array<struct<s, k, e, f>> of what patterns may discover outside the spans; k is null, f the form.
+
+    Form 1: runs of digit groups; 2: address-like words; 0: other tokens of 6 or more letters
+    and digits, 4 of them digits.  Where they overlap, form 2 goes before 1 and 1 before 0.
+    """
+    empty = F.array().cast("array<struct<s:int,k:int,e:int,f:int>>")
     core = lambda m: F.regexp_extract(m, r"([A-Za-z0-9][A-Za-z0-9._/-]*[A-Za-z0-9])[^A-Za-z0-9]*$", 1)
 
+    def item(s: Column, m: Column, form: int) -> Column:
+        return F.struct(s.alias("s"), F.lit(None).cast("int").alias("k"), (s + F.length(m)).alias("e"), F.lit(form).alias("f"))
+
     def cut(x: Column) -> Column:
-        return let(core(x["m"]), lambda c: let(x["s"] + F.length(F.regexp_extract(x["m"], r"^(.*?)[A-Za-z0-9][A-Za-z0-9._/-]*[A-Za-z0-9][^A-Za-z0-9]*$", 1)), lambda s: F.struct(s.alias("s"), F.lit(None).cast("int").alias("k"), (s + F.length(c)).alias("e"), c.alias("c"))))
+        return let(core(x["m"]), lambda c: item(x["s"] + F.length(F.regexp_extract(x["m"], r"^(.*?)[A-Za-z0-9][A-Za-z0-9._/-]*[A-Za-z0-9][^A-Za-z0-9]*$", 1)), c, 0))
 
     def like(x: Column) -> Column:
-        return (F.length(F.regexp_replace(x["c"], "[^A-Za-z0-9]", "")) >= 6) & (F.length(_digits(x["c"])) >= 4)
+        c = core(x["m"])
+        return (F.length(F.regexp_replace(c, "[^A-Za-z0-9]", "")) >= 6) & (F.length(_digits(c)) >= 4)
+
+    def free(rows: Column, taken: Column) -> Column:
+        return F.filter(rows, lambda x: ~F.exists(taken, lambda b: (b["s"] < x["e"]) & (b["e"] > x["s"])))
+
+    digit = text.rlike("[0-9]")
+    whole = lambda form: lambda x: item(x["s"], x["m"], form)
+    address = F.when(text.rlike(r"@|[(\[{<]\x20?(?:at|AT)\x20?[)\]}>]|\x20at\x20"), free(F.transform(_found(text, ADDRESS), whole(2)), spans)).otherwise(empty)
+    groups = F.when(digit, free(F.transform(_found(text, GROUPS), whole(1)), spans)).otherwise(empty)
+    tokens = F.when(digit, free(F.transform(F.filter(_found(text, TOKEN), like), cut), spans)).otherwise(empty)
+    both = let(address, lambda a: F.concat(a, free(groups, a)))
+    return let(both, lambda a: F.concat(a, free(tokens, a)))
+
 
-    free = F.filter(F.transform(_found(text, TOKEN), cut), lambda x: like(x) & ~F.exists(spans, lambda b: (b["s"] < x["e"]) & (b["e"] > x["s"])))
-    out = F.transform(free, lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e")))
-    return F.when(text.rlike("[0-9]"), out).otherwise(F.array().cast("array<struct<s:int,k:int,e:int>>"))
+def _fits(form: Column, kind: Column) -> Column:
+    """Whether what has a form may be of a kind: digit groups are no emails, address-like words nothing else."""
+    return F.coalesce(F.when(form == 1, kind != 0).when(form == 2, kind == 0), F.lit(True))
 
 
 def _patterns(left: Column, right: Column) -> Column:
@@ -106,18 +131,18 @@ def extract(docs: DataFrame, text_col: str = "text", rounds: int = 3, min_seeds:
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.drop("base", "added").withColumn("base", base_spans(text))
-    items = rows.select(text_key(text).alias("doc"), text.alias("t"), F.concat("base", candidates(text, F.col("base"))).alias("items"))
+    items = rows.select(text_key(text).alias("doc"), text.alias("t"), F.concat(F.transform("base", lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), F.lit(None).cast("int").alias("f"))), candidates(text, F.col("base"))).alias("items"))
     items = items.where(F.size("items") > 0).select("doc", "t", F.explode("items").alias("x"))
     left = F.substr("t", F.greatest(F.lit(1), F.col("x.s") + 1 - CONTEXT), F.least(F.lit(CONTEXT), F.col("x.s")))
     right = F.substr("t", F.col("x.e") + 1, F.lit(CONTEXT))
     inst = F.lower(F.substr("t", F.col("x.s") + 1, F.col("x.e") - F.col("x.s")))
-    items = items.select("doc", F.col("x.s").alias("s"), F.col("x.e").alias("e"), F.col("x.k").alias("k"), F.xxhash64(inst).alias("i"), F.transform(_patterns(left, right), lambda p: F.xxhash64(p)).alias("ps"))
-    items = materialize(items.distinct().select("doc", "s", "e", "k", "i", F.explode("ps").alias("p")))
-    edges = materialize(items.groupBy("p", "i").agg(F.min("k").alias("k")))
+    items = items.select("doc", F.col("x.s").alias("s"), F.col("x.e").alias("e"), F.col("x.k").alias("k"), F.col("x.f").alias("f"), F.xxhash64(inst).alias("i"), F.transform(_patterns(left, right), lambda p: F.xxhash64(p)).alias("ps"))
+    items = materialize(items.distinct().select("doc", "s", "e", "k", "f", "i", F.explode("ps").alias("p")))
+    edges = materialize(items.groupBy("p", "i").agg(F.min("k").alias("k"), F.min("f").alias("f")))
     # patterns that at least min_seeds seeds of one kind share
     seeds = edges.where("k is not null").groupBy("p", "k").agg(F.countDistinct("i").alias("seeds")).where(F.col("seeds") >= min_seeds).select("p", "k")
     live = materialize(seeds)
-    edges = materialize(edges.withColumnRenamed("k", "own").join(live, "p"))  # (p, i, own, k): what p says on kind k
+    edges = materialize(edges.withColumnRenamed("k", "own").join(live, "p").where(F.col("own").isNotNull() | _fits(F.col("f"), F.col("k"))))  # (p, i, own, k): what p says on kind k
     score = None
     for _ in range(rounds):
         if score is None:
@@ -126,9 +151,8 @@ def extract(docs: DataFrame, text_col: str = "text", rounds: int = 3, min_seeds:
             by_inst = materialize(edges.join(score, ["p", "k"]).groupBy("i", "k").agg(F.avg("c").alias("r0")))
             known = edges.join(by_inst, ["i", "k"]).withColumn("r", F.when(F.col("own").isNull(), F.col("r0")).otherwise((F.col("own") == F.col("k")).cast("double")))
         score = materialize(known.groupBy("p", "k").agg((F.sum("r") / (F.count("*") + 1)).alias("c")))
-    best = score.where(F.col("c") >= min_confidence).groupBy("p").agg(F.max_by("k", "c").alias("kind"), F.max("c").alias("c"))
-    best = materialize(best)
-    new = items.where("k is null").join(best, "p").groupBy("doc", "s", "e").agg(F.max_by("kind", F.struct("c", F.negate("kind"))).alias("k"))
+    best = materialize(score.where(F.col("c") >= min_confidence).select("p", F.col("k").alias("kind"), "c"))
+    new = items.where("k is null").join(best, "p").where(_fits(F.col("f"), F.col("kind"))).groupBy("doc", "s", "e").agg(F.max_by("kind", F.struct("c", F.negate("kind"))).alias("k"))
     new = materialize(new.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("s", "k", "e"))).alias("found")))
     out = rows.withColumn("_doc", text_key(text)).join(new.withColumnRenamed("doc", "_d"), F.col("_doc") == F.col("_d"), "left")
     return out.withColumn("added", F.coalesce("found", F.array().cast("array<struct<s:int,k:int,e:int>>"))).drop("_doc", "_d", "found")

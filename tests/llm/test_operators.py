@@ -312,3 +312,17 @@ def test_alike_against_brute_force():
 
     want = np.array([best(a, b) for a, b in zip(x, y, strict=True)])
     assert (hit == want).all() and 20 < want.sum() < 380
+
+
+def test_patterns_find_identifiers_of_several_tokens(spark):
+    """Digit groups with blanks and brackets, and addresses without a digit, in the slots of phones, cards and emails."""
+    phone, card, mail = "please call contact number {} today", "he paid with card {} yesterday", "just write to mailbox {} soon"
+    rows = [(i, phone.format(f"+1 (23{i % 10}) 567-89{10 + i}")) for i in range(12)]
+    rows += [(100 + i, mail.format(f"name{chr(97 + i)}@example.org")) for i in range(12)]
+    cards = [d for d in range(4111111111110000, 4111111111110200) if sum(sum(divmod(int(c) * (1 + k % 2), 10)) for k, c in enumerate(reversed(str(d)))) % 10 == 0][:12]
+    rows += [(200 + i, card.format(d)) for i, d in enumerate(cards)]
+    new = {300: (phone, "(030) 1234 5678", "phone"), 301: (phone, "0171 234 5678", "phone"), 302: (phone, "123 45 6789", "phone"), 303: (card, "4111 1111 1111 1112", "card"), 304: (mail, "john.doe (at) example.org", "email"), 305: (mail, "jane at example dot org", "email")}
+    rows += [(i, form.format(x)) for i, (form, x, _) in new.items()] + [(400, "an order of 123 45 6789 pieces"), (401, mail.format("12 34 56"))]
+    got = {r["doc_id"]: r["a"] for r in pii_bootstrap.extract(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", pii_bootstrap.describe(F.col("added")).alias("a")).collect()}
+    want = {i: f"{kind}:{form.index('{')}:{form.index('{') + len(x)}" for i, (form, x, kind) in new.items()}
+    assert {i: a for i, a in got.items() if a} == want
