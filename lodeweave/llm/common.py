@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 SLICE_BYTES = 1 << 20
+#: Which bytes are ASCII letters and digits.
+ALNUM = np.array([b < 128 and chr(b).isalnum() for b in range(256)])
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -56,6 +58,18 @@ def let(value: Column, then) -> Column:
     return F.transform(F.array(value), then)[0]
 
 
+def sealed(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """df with columns named by their place (c0, c1, ...), so no added name can clash, and those names."""
+    names = [f"c{i}" for i in range(len(df.columns))]
+    return df.toDF(*names), names
+
+
+def opened(df: DataFrame, of: DataFrame, names: list[str], added: dict[str, Column | str]) -> DataFrame:
+    """The columns of ``of`` under their own names, then the added ones, which replace columns of their names."""
+    kept = [F.col(c).alias(n) for c, n in zip(names, of.columns, strict=True) if n not in added]
+    return df.select(*kept, *[(F.col(c) if isinstance(c, str) else c).alias(n) for n, c in added.items()])
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -107,9 +121,14 @@ class WordHasher:
 
     def __call__(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """data: bytes of texts in a row; ends: n + 1 offsets. Gives word hashes and n + 1 word offsets."""
+        words, start, _ = self.spans(data, ends)
+        return words, np.searchsorted(start, ends) if len(data) else np.zeros(len(ends), np.int64)
+
+    def spans(self, data: np.ndarray, ends: np.ndarray, cut: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes, first bytes and last bytes of all words; a byte of the table ``cut`` that ends a word after an ASCII letter or digit is a word of its own."""
         n = len(data)
         if n == 0:
-            return np.zeros(0, np.uint64), np.zeros(len(ends), np.int64)
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         if n >= len(self.up):
             self._grow(n + 1)
         word = self.is_word[data]
@@ -124,12 +143,16 @@ class WordHasher:
         np.logical_not(word[1:], out=last[:-1])
         last[inner - 1] = True
         last &= word
+        if cut is not None:
+            at = np.flatnonzero(last & cut[data] & ~first)
+            at = at[ALNUM[data[at - 1]]]
+            first[at] = True
+            last[at - 1] = True
         start, stop = np.flatnonzero(first), np.flatnonzero(last)
         sums = np.empty(n + 1, np.uint64)
         sums[0] = 0
         np.cumsum(self.table[data] * self.up[:n], out=sums[1:])
-        words = mix((sums[stop + 1] - sums[start]) * self.down[start])
-        return words, np.searchsorted(start, ends)
+        return mix((sums[stop + 1] - sums[start]) * self.down[start]), start, stop
 
 
 def grams(words: np.ndarray, n: int) -> np.ndarray:

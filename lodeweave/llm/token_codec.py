@@ -1,245 +1,71 @@
-"""An adaptive context-mixing range coder for token ids, run over many blocks in lockstep.
-
-Each block starts afresh and is one lane of numpy arrays.  For every id three
-predictors name a candidate: order 2 (what followed the last two ids), order 1
-(what followed the last id) and order 0 (the block's most frequent id).  An id is coded
-as an *event* - one of the three candidates hits, or the id lies in one of five size
-classes - and, for a class, its place in the class.  Three event distributions
-(order 0: one a block; order 1: by the last id's class and the order-1 slot's
-confidence; order 2: by both slots' confidence) are mixed with weights that follow
-each one's success, and the mixture drives a carry-propagating range coder.
-All of it is integer arithmetic, so encoder and decoder agree on any machine.
+"""The range coder of token ids as column functions.
+
+A range coder is one long chain of dependent steps on integers, which neither built-in
+functions nor numpy run well, so it is a plain Java function (``TokenCoder.java``, which
+states the model and the format).  It is compiled once an application by the compiler that
+Spark itself uses for generated code; the jar lies in the shared folder and reaches
+executors, new ones included, as any added jar does.
 """
 
 from __future__ import annotations
 
-import struct
-import zlib
-
-import numpy as np
-
-BLOCK = 4096
-EVENTS = 8
-#: Size classes of ids: first id and number of ids of events 3 to 7.
-CLASS_BASE = np.array([0, 0, 0, 0, 256, 1024, 4096, 16384], np.int64)
-CLASS_SIZE = np.array([1, 1, 1, 256, 768, 3072, 12288, 49152], np.int64)
-MAX_ID = 65535
-MAGIC = b"LWR1"
-HEADER = struct.Struct("<4sIII")  # magic, ids, crc32 of the ids, crc32 of the payload
-SLOTS2, SLOTS1, COUNTS = 2048, 1024, 1024
-LOW_RANGE, WINDOW = np.uint64(1 << 32), np.uint64((1 << 48) - 1)
-#: Counts that each event starts with, and what one more adds.
-START, STEP = np.array([4, 4, 2, 6, 4, 4, 4, 4], np.int32), 8
-#: Size class of each id.
-CLASS_OF = np.repeat(np.arange(3, 8), CLASS_SIZE[3:])
-
-
-class _Lanes:
-    """Model state of n blocks."""
-
-    def __init__(self, n: int):
-        self.n = n
-        self.t2, self.t1 = np.zeros(n * SLOTS2, np.int32), np.zeros(n * SLOTS1, np.int32)
-        self.counts = np.zeros(n * COUNTS, np.int16)
-        # event counts: a row for each context, and each row's sum
-        self.p0 = np.repeat(START[:, None], n, axis=1)
-        self.p1, self.p2 = np.tile(START, (n * 32, 1)), np.tile(START, (n * 16, 1))
-        self.sum0, self.sum1, self.sum2 = (np.full(k, START.sum(), np.int32) for k in (n, n * 32, n * 16))
-        self.w = np.full((3, n), 341, np.int32)
-        lane = np.arange(n, dtype=np.int64)
-        self.at2, self.at1, self.atc, self.at32, self.at16 = lane * SLOTS2, lane * SLOTS1, lane * COUNTS, lane * 32, lane * 16
-        self.best, self.cand0 = np.zeros(n, np.int16), np.full(n, -1, np.int32)
-        self.last, self.before, self.cls = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
-
-    def predict(self, n: int) -> None:
-        """Frequencies of the events of the first n lanes: self.f, self.cum, self.total."""
-        last = self.last[:n]
-        self.i1 = self.at1[:n] + ((last * 0x9E3779B1 >> 12) & (SLOTS1 - 1))
-        self.i2 = self.at2[:n] + ((last * 0x9E3779B1 + self.before[:n] * 0x85EBCA77 >> 13) & (SLOTS2 - 1))
-        self.s1, self.s2 = self.t1.take(self.i1), self.t2.take(self.i2)
-        self.c1, self.c2 = (self.s1 & 0x1FFFF) - 1, (self.s2 & 0x1FFFF) - 1
-        c0, k1 = self.cand0[:n], self.s1 >> 20
-        self.j1 = self.at32[:n] + (self.cls[:n] << 2) + k1
-        self.j2 = self.at16[:n] + ((self.s2 >> 20) << 2) + k1
-        self.r0 = self.p0[:, :n]
-        self.r1 = np.ascontiguousarray(self.p1.take(self.j1, axis=0).T)
-        self.r2 = np.ascontiguousarray(self.p2.take(self.j2, axis=0).T)
-        w = self.w[:, :n] << 14
-        self.sums = self.sum0[:n], self.sum1.take(self.j1), self.sum2.take(self.j2)
-        f = self.r0 * (w[0] // self.sums[0])
-        f += self.r1 * (w[1] // self.sums[1])
-        f += self.r2 * (w[2] // self.sums[2])
-        f >>= 10
-        f += 1
-        f[0] *= self.c2 >= 0
-        f[1] *= (self.c1 >= 0) & (self.c1 != self.c2)
-        f[2] *= (c0 >= 0) & (c0 != self.c1) & (c0 != self.c2)
-        self.f = f
-        self.cum = cum = f.copy()
-        for e in range(1, EVENTS):
-            cum[e] += cum[e - 1]
-        self.total = cum[-1].astype(np.uint64)
-        self.lanes = np.arange(n)
-
-    def span(self, n: int, event: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = event * n + self.lanes
-        size = self.f.ravel().take(at)
-        return (self.cum.ravel().take(at) - size).astype(np.uint64), size.astype(np.uint64)
-
-    def update(self, n: int, ids: np.ndarray, event: np.ndarray) -> None:
-        at = event * n + self.lanes
-        h = [(r.ravel().take(at) << 10) // t for r, t in zip((self.p0 if n == self.n else self.r0.copy(), self.r1, self.r2), self.sums, strict=True)]
-        every = h[0] + h[1] + h[2] + 1
-        for x, y in zip(self.w[:, :n], h, strict=True):
-            x += ((y << 10) // every - x) >> 4
-        np.maximum(self.w, 8, out=self.w)
-        self.p0.ravel()[event * self.n + self.lanes] += STEP
-        self.p1.ravel()[self.j1 * EVENTS + event] += STEP
-        self.p2.ravel()[self.j2 * EVENTS + event] += STEP
-        self.sum0[:n] += STEP
-        self.sum1[self.j1] += STEP
-        self.sum2[self.j2] += STEP
-        ids32 = ids.astype(np.int32)
-        for table, where, cand, slot in ((self.t1, self.i1, self.c1, self.s1), (self.t2, self.i2, self.c2, self.s2)):
-            conf = slot >> 20
-            ok = cand == ids32
-            table[where] = (ids32 + 1) | (np.where(ok, np.minimum(conf + 1, 3), conf >> 2) << 20)
-        i = self.atc[:n] + ((ids * 0x9E3779B1 >> 14) & (COUNTS - 1))
-        c = self.counts.take(i) + np.int16(1)
-        self.counts[i] = c
-        more = c > self.best[:n]
-        self.best[:n] = np.where(more, c, self.best[:n])
-        self.cand0[:n] = np.where(more, ids32, self.cand0[:n])
-        self.before[:n] = self.last[:n]
-        self.last[:n] = ids
-        self.cls[:n] = _class(ids) - 3
-
-
-def _class(ids: np.ndarray) -> np.ndarray:
-    return CLASS_OF.take(ids)
-
-
-def _by_length(lens: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(-np.asarray(lens), kind="stable")
-    return order, np.asarray(lens)[order]
-
-
-def encode(blocks: list[np.ndarray]) -> list[bytes]:
-    """One self-contained byte string for each block of ids (0 to MAX_ID)."""
-    if not blocks:
-        return []
-    order, lens = _by_length([len(b) for b in blocks])
-    steps, n = int(lens[0]), len(blocks)
-    ids = np.zeros((steps, n), np.int64)
-    for lane, b in enumerate(order):
-        ids[: lens[lane], lane] = blocks[b]
-    if steps and (ids.min() < 0 or ids.max() > MAX_ID):
-        raise ValueError(f"ids must be from 0 to {MAX_ID}")
-    m = _Lanes(n)
-    low, rng = np.zeros(n, np.uint64), np.full(n, WINDOW, np.uint64)
-    out, pos = np.zeros((n, 2 * steps + 8), np.uint16), np.zeros(n, np.int64)
-
-    def shift(k: int) -> None:
-        over = np.flatnonzero(low[:k] > WINDOW)
-        if len(over):
-            low[over] &= WINDOW
-            at = pos[over] - 1
-            while len(over):  # the carry runs over words that are all ones
-                out[over, at] += np.uint16(1)
-                more = out[over, at] == 0
-                over, at = over[more], at[more] - 1
-        while True:
-            i = np.flatnonzero(rng[:k] < LOW_RANGE)
-            if not len(i):
-                return
-            x = low[i]
-            out[i, pos[i]] = x >> np.uint64(32)
-            pos[i] += 1
-            low[i] = (x << np.uint64(16)) & WINDOW
-            rng[i] <<= np.uint64(16)
-
-    live = np.searchsorted(-lens, -np.arange(steps), "left")  # lanes with more than t ids
-    for t in range(steps):
-        k = int(live[t])
-        x = ids[t, :k]
-        m.predict(k)
-        event = np.where(x == m.c2, 0, np.where(x == m.c1, 1, np.where(x == m.cand0[:k], 2, _class(x))))
-        start, size = m.span(k, event)
-        r = rng[:k] // m.total
-        low[:k] += r * start
-        rng[:k] = r * size
-        shift(k)
-        r = rng[:k] // CLASS_SIZE[event].astype(np.uint64)
-        low[:k] += r * np.where(event < 3, 0, x - CLASS_BASE[event]).astype(np.uint64)
-        rng[:k] = r
-        shift(k)
-        m.update(k, x, event)
-    for _ in range(3):
-        out[np.arange(n), pos] = low >> np.uint64(32)
-        pos += 1
-        low = (low << np.uint64(16)) & WINDOW
-    made: list[bytes] = [b""] * n
-    for lane, b in enumerate(order):
-        payload = out[lane, : pos[lane]].astype(">u2").tobytes()
-        raw = ids[: lens[lane], lane].astype("<u4").tobytes()
-        made[b] = HEADER.pack(MAGIC, int(lens[lane]), zlib.crc32(raw), zlib.crc32(payload)) + payload
-    return made
-
-
-def decode(blocks: list[bytes]) -> list[np.ndarray]:
-    """The ids of each block; a block that fails its checksums is an error."""
-    if not blocks:
-        return []
-    heads = [HEADER.unpack_from(b) for b in blocks]
-    for b, (magic, _, _, crc) in zip(blocks, heads, strict=True):
-        if magic != MAGIC or zlib.crc32(memoryview(b)[HEADER.size :]) != crc:
-            raise ValueError("a block is damaged")
-    order, lens = _by_length([h[1] for h in heads])
-    steps, n = int(lens[0]), len(blocks)
-    words = np.zeros((n, max(len(b) for b in blocks) // 2 + 8), np.uint64)
-    for lane, b in enumerate(order):
-        w = np.frombuffer(blocks[b], ">u2", offset=HEADER.size)
-        words[lane, : len(w)] = w
-    code = (words[:, 0] << np.uint64(32)) | (words[:, 1] << np.uint64(16)) | words[:, 2]
-    pos, rng = np.full(n, 3, np.int64), np.full(n, WINDOW, np.uint64)
-    ids = np.zeros((steps, n), np.int64)
-    m = _Lanes(n)
-
-    def shift(k: int) -> None:
-        while True:
-            i = np.flatnonzero(rng[:k] < LOW_RANGE)
-            if not len(i):
-                return
-            code[i] = (code[i] << np.uint64(16)) | words[i, pos[i]]
-            pos[i] += 1
-            rng[i] <<= np.uint64(16)
-
-    live = np.searchsorted(-lens, -np.arange(steps), "left")
-    for t in range(steps):
-        k = int(live[t])
-        m.predict(k)
-        r = rng[:k] // m.total
-        v = np.minimum(code[:k] // r, m.total - np.uint64(1)).astype(np.int32)
-        event = np.zeros(k, np.int64)
-        for row in m.cum[:-1]:
-            event += row <= v
-        start, size = m.span(k, event)
-        code[:k] -= r * start
-        rng[:k] = r * size
-        shift(k)
-        many = CLASS_SIZE[event].astype(np.uint64)
-        r = rng[:k] // many
-        v = np.minimum(code[:k] // r, many - np.uint64(1))
-        code[:k] -= r * v
-        rng[:k] = r
-        shift(k)
-        x = np.where(event < 3, np.where(event == 0, m.c2, np.where(event == 1, m.c1, m.cand0[:k])), CLASS_BASE[event] + v.astype(np.int64)).astype(np.int64)
-        ids[t, :k] = x
-        m.update(k, x, event)
-    made: list[np.ndarray] = [np.zeros(0, np.int64)] * n
-    for lane, b in enumerate(order):
-        x = ids[: lens[lane], lane].copy()
-        if zlib.crc32(x.astype("<u4").tobytes()) != heads[b][2]:
-            raise ValueError("a block's ids fail their checksum")
-        made[b] = x
-    return made
+import io
+import zipfile
+from pathlib import Path
+
+from pyspark.sql import Column, SparkSession
+from pyspark.sql import functions as F
+
+from .common import new_path
+
+SOURCE = Path(__file__).with_name("TokenCoder.java")
+#: Ids of a block.
+BLOCK = 16384
+MAX_ID = (1 << 22) - 1
+_FUNCTIONS = {"lodeweave_encode_ids": "Encode", "lodeweave_decode_ids": "Decode"}
+#: Function objects by application.
+_made: dict[str, dict[str, object]] = {}
+
+
+def _compile(spark: SparkSession) -> dict[str, object]:
+    sc = spark.sparkContext
+    jvm, gateway = sc._jvm, sc._gateway
+    compiler = jvm.org.codehaus.janino.SimpleCompiler()
+    compiler.cook(SOURCE.read_text())
+    classes = compiler.getBytecodes()
+    jar = io.BytesIO()
+    with zipfile.ZipFile(jar, "w") as z:
+        for name in classes:
+            z.writestr(name.replace(".", "/") + ".class", bytes(classes[name]))
+    path = jvm.org.apache.hadoop.fs.Path(new_path(spark, "token-coder") + ".jar")
+    out = path.getFileSystem(sc._jsc.hadoopConfiguration()).create(path)
+    out.write(bytearray(jar.getvalue()))
+    out.close()
+    spark.sql(f"ADD JAR '{path.toString()}'")
+    loader = jvm.java.lang.Thread.currentThread().getContextClassLoader()
+
+    def make(name: str):
+        kind = jvm.java.lang.Class.forName(f"lodeweave.codec.TokenCoder${name}", True, loader)
+        return kind.getDeclaredConstructor(gateway.new_array(jvm.java.lang.Class, 0)).newInstance(gateway.new_array(jvm.java.lang.Object, 0))
+
+    return {f: make(name) for f, name in _FUNCTIONS.items()}
+
+
+def _call(name: str, of: Column | str) -> Column:
+    spark = SparkSession.active()
+    app = spark.sparkContext.applicationId
+    if app not in _made:
+        _made[app] = _compile(spark)
+    binary = spark.sparkContext._jvm.org.apache.spark.sql.types.DataTypes.BinaryType
+    spark._jsparkSession.udf().register(name, _made[app][name], binary)
+    return F.call_function(name, of)
+
+
+def encode(ids: Column | str) -> Column:
+    """Checksummed blocks of BLOCK ids each, for a binary column of little-endian 32-bit ids from 0 to MAX_ID; null stays null."""
+    return _call("lodeweave_encode_ids", ids)
+
+
+def decode(blocks: Column | str) -> Column:
+    """The ids of such blocks; a damaged block is an error."""
+    return _call("lodeweave_decode_ids", blocks)
