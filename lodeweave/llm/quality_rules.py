@@ -1,8 +1,7 @@
 """Quality rules: cross-document line frequency per host, on built-in functions only.
 
 A line is normalised (trimmed, blanks squeezed, lower-cased, digits to 0) and hashed to
-128 bits.  Lines that stand in more than ``limit`` documents of one host are removed, and
-a document that loses too much of its words is rejected.
+128 bits.  Lines that stand in too many documents of one host are removed, and a document that loses too much of its words is rejected.
 """
 
 from __future__ import annotations
@@ -10,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, let, text_key
+from .common import SPACE, let, opened, sealed, text_key
 
 #: Characters that count as symbols (fixed values of the base rules).
 SYMBOLS = "#*$%&|<>"
@@ -46,9 +45,7 @@ def normal(line: Column) -> Column:
 
 
 def base(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """df with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed; a null text has zeros.
-
-    """
+    """df with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed; a null text has zeros."""
     t = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.filter(F.split(t, "\n"), lambda x: F.translate(x, BLANKS, "") != "")
     df = df.withColumn("_stats", let(words(F.col(text_col)), lambda w: F.struct(F.size(w).cast("long").alias("n"), repeated_words(w).alias("r"))))
@@ -64,40 +61,56 @@ def base(df: DataFrame, text_col: str = "text") -> DataFrame:
     return df.withColumn("base_failed", F.expr("n_words < 10 or 100 * n_repeat_words > 20 * n_words"))
 
 
-def line_rules(docs: DataFrame, host_col: str = "source", text_col: str = "text", limit: int = 40, keep_share: float = 0.3, keep_words: int = 5) -> DataFrame:
-    """The input's columns with clean_text, n_removed_lines, n_left_words, depleted, and the base columns and kept.
+BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
 
-    A normalised line is over the limit if more than ``limit`` different texts of its host
-    have it: copies of a text count once, as copies are the de-duplicator's affair.  A
-    document is depleted if fewer than ``keep_share`` of its words or fewer than
-    ``keep_words`` words are left, while something was removed.  kept is false if the base rules fail.  A null host is a
-    host of its own.  A null text stays null, has no words, and fails the base rules.
-    Columns of the added names are replaced.  Columns that are not used later
-    (clean_text among them) are pruned before any shuffle.
+def line_rules(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text", least: int = 5, share: float = 0.05, keep_share: float = 0.3, keep_words: int = 5) -> DataFrame:
+    """The input's columns with clean_text, n_removed_lines, n_left_words, depleted, kept and the base columns.
+
+    A normalised line is over the limit if more than max(``least``, ``share`` * documents of
+    its host) distinct documents of the host have it, in more than ``least`` different texts;
+    so copies of a few texts, however many, reject nothing: they are the de-duplicator's
+    affair.  A document is an (id, text); equal rows are one, null ids count by their text.
+    A document is depleted if fewer than ``keep_share`` of its words or fewer than
+    ``keep_words`` words are left, while something was removed.  kept is false if the base
+    rules fail or the document is depleted.  A null host is a host of its own.  A null text
+    stays null, has no words, and fails the base rules; an empty table gives no rows.
+    Columns of the added names are replaced, others may have any names.  Columns that are
+    not used later (clean_text among them) are pruned before any shuffle.
     """
-    host, text = F.col(host_col), F.col(text_col)
+    rows, names = sealed(docs)
+    where = dict(zip(docs.columns, names, strict=True))
+    host, text, who = F.col(where[host_col]), F.col(where[text_col]), F.col(where[id_col])
     cut = F.split(text, "\n")
     hashed = F.transform(cut, lambda x, i: F.struct(let(normal(x), lambda y: F.struct((y != "").alias("ok"), text_key(y).alias("k"))).alias("s"), i.alias("i"), x.alias("x")))
-    lines = docs.where(text.isNotNull()).select(host.alias("host"), text_key(text).alias("doc"), F.explode(hashed).alias("l"))
-    lines = lines.where("l.s.ok").select("host", "doc", F.col("l.s.k.a").alias("a"), F.col("l.s.k.b").alias("b"), F.col("l.i").alias("i"), F.size(words(F.col("l.x"))).alias("n"))
-    # one row for each different text of a host that has the line; copies fall together before the count
-    once = lines.select("host", "a", "b", "doc").distinct()
-    common = once.groupBy("host", "a", "b").agg(F.count("*").alias("docs")).where(F.col("docs") > limit)
+    given = rows.where(text.isNotNull())
+    lines = given.select(host.alias("host"), who.alias("id"), text_key(text).alias("doc"), F.explode(hashed).alias("l"))
+    lines = lines.where("l.s.ok").select("host", "id", "doc", F.col("l.s.k.a").alias("a"), F.col("l.s.k.b").alias("b"), F.col("l.i").alias("i"), F.size(words(F.col("l.x"))).alias("n"))
+
+    def documents(of: Column) -> Column:
+        """Distinct documents of one text: its ids, null as one more."""
+        return F.count_distinct(of) + F.max(F.when(of.isNull(), 1).otherwise(0))
+
+    # copies of a text fall together before the lines are counted over texts
+    once = lines.groupBy("host", "a", "b", "doc").agg(documents(F.col("id")).alias("m"))
+    total = given.groupBy(host.alias("h1"), text_key(text).alias("doc")).agg(documents(who).alias("m")).groupBy("h1").agg(F.sum("m").alias("all"))
+    common = once.groupBy("host", "a", "b").agg(F.sum("m").alias("docs"), F.count("*").alias("texts")).where((F.col("docs") > least) & (F.col("texts") > least))
+    common = common.join(total, F.col("host").eqNullSafe(F.col("h1"))).where(F.col("docs") > share * F.col("all"))
     common = common.select(F.col("host").alias("h2"), F.col("a").alias("a2"), F.col("b").alias("b2"))
     hit = lines.join(common, F.col("host").eqNullSafe(F.col("h2")) & (F.col("a") == F.col("a2")) & (F.col("b") == F.col("b2")))
     # copies carry the same lines: each place once
     lost = hit.groupBy("host", "doc", "i").agg(F.first("n").alias("n")).groupBy("host", "doc").agg(F.collect_set("i").alias("gone"), F.sum("n").alias("lost_words"))
     lost = lost.select(F.col("host").alias("h3"), F.col("doc").alias("d3"), "gone", "lost_words")
-    names = ("clean_text", "n_removed_lines", "n_left_words", "depleted", "kept", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
-    own = base(docs.drop(*[c for c in docs.columns if c in names]), text_col).withColumn("_key", text_key(F.col(text_col)))
-    out = own.join(lost, F.col(host_col).eqNullSafe(F.col("h3")) & (F.col("_key") == F.col("d3")), "left")
+    own = base(rows, where[text_col]).withColumn("key", text_key(text))
+    out = own.join(lost, host.eqNullSafe(F.col("h3")) & (F.col("key") == F.col("d3")), "left")
+    gone = F.coalesce("gone", F.array().cast("array<int>"))
     left = F.col("n_words") - F.coalesce("lost_words", F.lit(0))
-    out = out.withColumn("gone", F.coalesce("gone", F.array().cast("array<int>"))).withColumns(
-        {
-            "clean_text": F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda x, i: ~F.array_contains(F.col("gone"), i)), "\n"),
-            "n_removed_lines": F.size("gone").cast("long"),
-            "n_left_words": left.cast("long"),
-            "depleted": F.col("lost_words").isNotNull() & ((left < keep_share * F.col("n_words")) | (left < keep_words)),
-        }
-    )
-    return out.withColumn("kept", ~F.col("base_failed") & ~F.col("depleted")).drop("_key", "h3", "d3", "gone", "lost_words")
+    depleted = F.col("lost_words").isNotNull() & ((left < keep_share * F.col("n_words")) | (left < keep_words))
+    added = {
+        "clean_text": F.array_join(F.filter(cut, lambda x, i: ~F.array_contains(gone, i)), "\n"),
+        "n_removed_lines": F.size(gone).cast("long"),
+        "n_left_words": left.cast("long"),
+        "depleted": depleted,
+        "kept": ~F.col("base_failed") & ~depleted,
+    }
+    return opened(out, docs, names, added | {c: c for c in BASE})
