@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, materialize, text_key
+from .common import let, materialize, opened, sealed, text_key
 
 KINDS = ("email", "ip", "card", "phone")
 # The base patterns.  Possessive quantifiers, and starting only at a run's first character (or
@@ -118,26 +118,33 @@ def _patterns(left: Column, right: Column) -> Column:
     l1 = F.lower(F.regexp_extract(left, rf"({word})[\x20\x09-\x0D]*$", 1))
     l2 = F.lower(F.regexp_extract(left, rf"({word}[\x20\x09-\x0D]+{word})[\x20\x09-\x0D]*$", 1))
     r1 = F.lower(F.regexp_extract(right, rf"^[\x20\x09-\x0D]*({word})", 1))
-    return F.array(F.concat(F.lit("l1 "), l1), F.concat(F.lit("l2 "), l2), F.concat(F.lit("lr "), l1, F.lit(" _ "), r1))
+    # no words, no pattern
+    some = lambda name, on, *parts: F.when(on != "", F.concat(F.lit(name), *parts))
+    return F.array_compact(F.array(some("l1 ", l1, l1), some("l2 ", l2, l2), some("lr ", F.concat(l1, r1), l1, F.lit(" _ "), r1)))
 
 
 def extract(docs: DataFrame, text_col: str = "text", rounds: int = 3, min_seeds: int = 3, min_confidence: float = 0.6) -> DataFrame:
     """The input's columns with base (sorted base spans) and added (sorted spans that patterns found).
 
     A span is struct<s, k, e>: code-point start, place in KINDS, exclusive end.  A null text
-    counts as empty.  Copies of a text count once.  A pattern needs ``min_seeds`` different
-    seeds of one kind and ``min_confidence``: the mean score of its instances (seeds: 1),
-    with one more instance of score 0.
+    counts as empty; an empty table gives no rows.  Copies of a text count once.  A pattern needs
+    ``min_seeds`` different seeds of one kind and ``min_confidence``: the mean score of its
+    instances (seeds: 1), with one more instance of score 0.  Of kinds that reach an
+    instance the most confident wins, then the first.  Columns named base or added are
+    replaced, others may have any names.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.drop("base", "added").withColumn("base", base_spans(text))
-    items = rows.select(text_key(text).alias("doc"), text.alias("t"), F.concat(F.transform("base", lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), F.lit(None).cast("int").alias("f"))), candidates(text, F.col("base"))).alias("items"))
+    given, names = sealed(docs)
+    text = F.coalesce(F.col(names[docs.columns.index(text_col)]), F.lit(""))
+    spans = given.select(text_key(text).alias("doc"), text.alias("t")).where(F.col("t") != "").withColumn("base", base_spans(F.col("t")))
+    items = spans.select("doc", "t", F.concat(F.transform("base", lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), F.lit(None).cast("int").alias("f"))), candidates(F.col("t"), F.col("base"))).alias("items"))
     items = items.where(F.size("items") > 0).select("doc", "t", F.explode("items").alias("x"))
     left = F.substr("t", F.greatest(F.lit(1), F.col("x.s") + 1 - CONTEXT), F.least(F.lit(CONTEXT), F.col("x.s")))
     right = F.substr("t", F.col("x.e") + 1, F.lit(CONTEXT))
     inst = F.lower(F.substr("t", F.col("x.s") + 1, F.col("x.e") - F.col("x.s")))
     items = items.select("doc", F.col("x.s").alias("s"), F.col("x.e").alias("e"), F.col("x.k").alias("k"), F.col("x.f").alias("f"), F.xxhash64(inst).alias("i"), F.transform(_patterns(left, right), lambda p: F.xxhash64(p)).alias("ps"))
-    items = materialize(items.distinct().select("doc", "s", "e", "k", "f", "i", F.explode("ps").alias("p")))
+    items = materialize(items.distinct())  # the one pass over the texts
+    seen = items.where("k is not null").select("doc", F.struct("s", "k", "e").alias("x"), F.lit(True).alias("own"))
+    items = items.select("doc", "s", "e", "k", "f", "i", F.explode("ps").alias("p"))
     edges = materialize(items.groupBy("p", "i").agg(F.min("k").alias("k"), F.min("f").alias("f")))
     # patterns that at least min_seeds seeds of one kind share
     seeds = edges.where("k is not null").groupBy("p", "k").agg(F.countDistinct("i").alias("seeds")).where(F.col("seeds") >= min_seeds).select("p", "k")
@@ -153,9 +160,12 @@ def extract(docs: DataFrame, text_col: str = "text", rounds: int = 3, min_seeds:
         score = materialize(known.groupBy("p", "k").agg((F.sum("r") / (F.count("*") + 1)).alias("c")))
     best = materialize(score.where(F.col("c") >= min_confidence).select("p", F.col("k").alias("kind"), "c"))
     new = items.where("k is null").join(best, "p").where(_fits(F.col("f"), F.col("kind"))).groupBy("doc", "s", "e").agg(F.max_by("kind", F.struct("c", F.negate("kind"))).alias("k"))
-    new = materialize(new.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("s", "k", "e"))).alias("found")))
-    out = rows.withColumn("_doc", text_key(text)).join(new.withColumnRenamed("doc", "_d"), F.col("_doc") == F.col("_d"), "left")
-    return out.withColumn("added", F.coalesce("found", F.array().cast("array<struct<s:int,k:int,e:int>>"))).drop("_doc", "_d", "found")
+    every = seen.unionByName(new.select("doc", F.struct("s", "k", "e").alias("x"), F.lit(False).alias("own")))
+    pick = lambda own: F.array_sort(F.collect_list(F.when(F.col("own") == own, F.col("x"))))
+    every = every.groupBy("doc").agg(pick(True).alias("base"), pick(False).alias("added"))
+    out = given.withColumn("doc", text_key(text)).join(every.withColumnRenamed("doc", "d"), F.col("doc") == F.col("d"), "left")
+    none = F.array().cast("array<struct<s:int,k:int,e:int>>")
+    return opened(out, docs, names, {"base": F.coalesce("base", none), "added": F.coalesce("added", none)})
 
 
 def describe(spans: Column) -> Column:
