@@ -41,7 +41,6 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), shar
     s = s.withColumn("open", F.sum("w").over(every) - F.coalesce(F.sum("w").over(upto), F.lit(0.0)))
     # the first source that is not filled sets the level for the rest
     s = s.withColumn("try", F.when(F.col("cap") >= F.col("left") / F.col("open") * F.col("w"), F.col("left") / F.col("open")))
-    s = s.withColumn("level", F.min("try").over(every))
     first = F.first("try", ignorenulls=True).over(fill.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     s = s.withColumn("level", first)
     return s.select("source", "source_size", F.least(F.col("cap"), F.coalesce(F.col("level") * F.col("w"), F.col("cap"))).alias("target"))
@@ -51,6 +50,7 @@ def tilts(histogram: DataFrame, goals: DataFrame, ceiling: float = 2.0, toleranc
     """(source, tilt, scale): lambda of each source for (source, size, n) and (source, source_size, target).
 
     A source whose target is its ceiling gets a null tilt: all its rates are the ceiling.
+    Raises if ``max_steps`` don't bring every source within ``tolerance`` of its target.
     """
     base = histogram.where("size > 0").groupBy("source").agg((F.sum(F.col("size") * F.col("n")) / F.sum("n")).alias("scale"))
     state = goals.join(base, goals["source"].eqNullSafe(base["source"])).select(goals["source"], "target", "scale", F.lit(0.0).alias("x"), F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"), (F.col("target") >= ceiling * F.col("source_size") * (1 - 1e-12)).alias("full"), F.lit(False).alias("done"))
@@ -73,8 +73,10 @@ def tilts(histogram: DataFrame, goals: DataFrame, ceiling: float = 2.0, toleranc
         done = F.col("done") | (F.abs("miss") <= tolerance * F.col("target"))
         x = F.when(F.col("full") | F.col("s").isNull() | done, F.col("x")).when((F.col("slope") > 0) & inside, step).otherwise(fallback)
         state = materialize(new.select("source", "target", "scale", x.alias("x"), "lo", "hi", "full", F.coalesce(done, F.lit(False)).alias("done")))
-        if not state.where("not full and not done").limit(1).count():
+        if state.where("not full and not done").isEmpty():
             break
+    else:
+        raise RuntimeError(f"rates did not settle in {max_steps} steps")
     return state.select("source", F.when(~F.col("full"), F.col("x")).alias("tilt"), "scale")
 
 
@@ -97,7 +99,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     size is the number of words of the text (null: 0); taken = copies * size.  copies is
     floor(rate) or one more and never over the ceiling.  Rows without words get rate and
     copies 1.  A null source is a source of its own.  The result depends on the rows'
-    values only; equal rows are interchangeable.
+    values only; equal rows are interchangeable.  An empty table gives no rows; columns
+    other than the three named are not read.
     """
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
     rows = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("source"), size.alias("size"), F.xxhash64(text_col).alias("_h"))
