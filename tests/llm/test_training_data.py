@@ -89,7 +89,29 @@ def test_near_duplicates_against_brute_force(docs, local):
 
 
 def test_quality_against_brute_force(docs, local):
-    got = {r["doc_id"]: r for r in quality_rules.line_rules(docs, limit=5).collect()}
+    least, share = 1, 0.05
+    got = {r["doc_id"]: r for r in quality_rules.line_rules(docs, least=least, share=share).collect()}
+
+    def normal(x):
+        return re.sub("[0-9]", "0", re.sub(r"[\x20\x09-\x0D]+", " ", x).strip(" ").lower())
+
+    every, having, texts = {}, {}, {}
+    for i, t, host in local:
+        if t is not None:
+            every.setdefault(host, set()).add((i, t))
+            for x in filter(None, map(normal, t.split("\n"))):
+                having.setdefault((host, x), set()).add((i, t))
+                texts.setdefault((host, x), set()).add(t)
+    common = {k for k, v in having.items() if len(v) > max(least, share * len(every[k[0]])) and len(texts[k]) > least}
+    assert common
+    for i, t, host in local:
+        left = [x for x in (t or "").split("\n") if (host, normal(x)) not in common]
+        cut = len((t or "").split("\n")) - len(left)
+        n, own = len(words("\n".join(left))), len(words(t))
+        depleted = cut > 0 and (n < 0.3 * own or n < 5)
+        r = got[i]
+        assert (r["n_removed_lines"], r["n_left_words"], r["depleted"]) == (cut, n, depleted)
+        assert r["clean_text"] == (None if t is None else "\n".join(left)) and r["kept"] == (not r["base_failed"] and not depleted)
     for i, t, _ in local:
         w, seen, cover = words(t), {}, set()
         for k in range(len(w) - 4):
@@ -106,9 +128,16 @@ def test_quality_against_brute_force(docs, local):
 
 def test_common_lines_go(spark):
     rows = [(i, f"this line is in all of them\nown words of {chr(97 + i)} " + "abc " * 10, "h") for i in range(8)] + [(100, "this line is in all of them\nx", "h"), (101, "this line is in all of them\nmore words of another host here", None)]
-    got = {r["doc_id"]: r for r in quality_rules.line_rules(spark.createDataFrame(rows, "doc_id long, text string, source string"), limit=5).collect()}
+    copies = [(200 + i, "the same text as all of its copies, which is whole", "copied") for i in range(20)]
+    got = {r["doc_id"]: r for r in quality_rules.line_rules(spark.createDataFrame(rows + copies, "doc_id long, text string, source string")).collect()}
     assert got[0]["n_removed_lines"] == 1 and "all of them" not in got[0]["clean_text"] and not got[0]["depleted"]
     assert got[100]["depleted"] and not got[100]["kept"] and got[101]["n_removed_lines"] == 0
+    assert not any(got[200 + i]["depleted"] for i in range(20))  # one text, however often
+
+
+def test_planted_line_goes_at_sf001(spark):
+    got = quality_rules.line_rules(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).agg(F.sum("n_removed_lines"), F.sum(F.col("depleted").cast("int"))).first()
+    assert got[0] >= 100
 
 
 def test_shards(docs):
@@ -205,14 +234,44 @@ def test_myers_is_edit_distance():
         assert decontaminate.myers(decontaminate._masks(np.array(p)), len(p), t)[0] == min(row)
 
 
-def test_codec_round_trip():
-    rng = np.random.default_rng(4)
-    blocks = [rng.integers(0, 65536, n) for n in (1, 0, 700, 33)] + [np.zeros(500, int), np.arange(300) % 3, (rng.zipf(1.3, 900) % 65536)]
-    coded = token_codec.encode(blocks)
-    assert all((a == b).all() for a, b in zip(blocks, token_codec.decode(coded), strict=True))
-    assert len(coded[4]) < 200
-    with pytest.raises(ValueError):
-        token_codec.decode([coded[2][:-1] + bytes([coded[2][-1] ^ 1])])
+def test_codec_round_trip(spark):
+    rng = np.random.default_rng(0)
+    cases = [np.zeros(0), np.zeros(1), np.arange(70000), rng.integers(0, token_codec.MAX_ID + 1, 40000), np.full(20000, 65535), np.array([token_codec.MAX_ID]), rng.geometric(0.3, 50000), rng.integers(0, 3, 2 * token_codec.BLOCK), np.tile(rng.integers(0, 9000, 500), 40)]
+    rows = [(i, bytearray(c.astype("<u4").tobytes())) for i, c in enumerate(cases)] + [(99, None)]
+    got = spark.createDataFrame(rows, "i int, ids binary").withColumn("blocks", token_codec.encode("ids")).withColumn("back", token_codec.decode("blocks")).collect()
+    assert all(r["back"] == r["ids"] for r in got)
+    bits = {r["i"]: 8 * len(r["blocks"]) / max(1, len(cases[r["i"]])) for r in got if r["i"] < 99}
+    assert bits[4] < 0.1 and bits[7] < 1.7 and bits[8] < 1  # one id, log2(3), a repeat that order 2 foresees
+    blocks = bytes(got[2]["blocks"])
+    for broken in (blocks[:-1], blocks[:-1] + bytes([blocks[-1] ^ 1]), b"X" + blocks[1:]):
+        with pytest.raises(Exception, match="damaged"):
+            spark.createDataFrame([(bytearray(broken),)], "b binary").select(token_codec.decode("b")).collect()
+    with pytest.raises(Exception, match="ids must be"):
+        spark.createDataFrame([(bytearray(np.array([token_codec.MAX_ID + 1], "<u4").tobytes()),)], "b binary").select(token_codec.encode("b")).collect()
+
+
+def test_blocks_start_afresh(spark):
+    """A block's bytes depend on its own ids only."""
+    a, b = (np.random.default_rng(k).geometric(0.05, token_codec.BLOCK).astype("<u4").tobytes() for k in (1, 2))
+    rows = spark.createDataFrame([(bytearray(x),) for x in (a, b, a + b)], "ids binary").select(token_codec.encode("ids")).collect()
+    assert rows[2][0] == rows[0][0] + rows[1][0]
+
+
+def test_pieces_equal_the_tokenizer(monkeypatch):
+    import pyarrow as pa
+
+    from lodeweave.llm.common import slices
+
+    odd = ["", " a", "a ", "a  b", "a\n\nb", "a\nb c\n", "x\u00a0y z", " ", "a <|endoftext|> b", "tab\there", None, "don't we'll I'M  x", "über straße\nété 123,45 (foo).", "“quoted” – text", "\u3000x", "a\r\nb", "日本 語", "a\u2003b", "🙂 🙂\n🙂", "a <b |c", "end.", "end..", "é. 5. —.", "\u00e9", "I.\nJ! k"]
+    encoder = token_files.PieceEncoder(tokenizer_path())
+    for limit in (1, 64, 1 << 18):
+        got = [x.tolist() for i, j, data, ends in slices(pa.array(odd, pa.string()), limit) for x in encoder.encode(data, ends)]
+        assert got == [encoder.tokenizer.encode(t or "", add_special_tokens=False).ids for t in odd]
+    # long texts are taken in parts
+    monkeypatch.setattr(token_files, "PART_BYTES", 16)
+    for t in ("one two, three\nfour five. six seven eight nine\nten eleven twelve " * 20 + "end", "a  b" + " word" * 40, "x" * 100 + " y" * 50, " y" * 50):
+        raw = np.frombuffer(t.encode(), np.uint8)
+        assert encoder.encode(raw, np.array([0, len(raw)]))[0].tolist() == encoder.tokenizer.encode(t, add_special_tokens=False).ids
 
 
 def test_token_files(docs, local):
@@ -251,6 +310,55 @@ def test_quotes(spark):
     got = {(r["conv_id"], r["turn"]): r for r in quote_linking.link(spark.createDataFrame(rows, "conv_id long, turn long, text string").withColumn("role", F.lit("user"))).collect()}
     assert (got[1, 2]["reply_to"], got[1, 2]["thread"], got[1, 2]["depth"], got[1, 2]["clean_text"]) == (1, 0, 2, "Good")
     assert got[1, 1]["clean_text"] == "I am fine" and got[2, 0]["reply_to"] is None and len(got) == 6
+    assert got[2, 0]["clean_text"] == "> I am fine\nx"  # linked to nothing, so kept
+
+
+def test_quotes_wrapped_anew_and_in_part(spark):
+    said = "The first thing to do is to read the log of the server, then to look at what it says about the disk."
+    rows = [
+        (1, 0, said),
+        (1, 1, "an answer of other words that nobody has ever said before"),
+        (1, 600, "> The first thing to do is to read the\n> log of the server, then to look at what it\n> says about the disk.\nI did that."),
+        (1, 601, "> to read the log of the server, then\nwhich one?"),
+        (1, 602, "> words of a passage that stands in no message at all\nstays"),
+        (1, 1200, said + " Again."),
+        (1, 1201, "> the first thing to do is to read the log of the server\nyes, again"),
+    ]
+    got = {r["turn"]: r for r in quote_linking.link(spark.createDataFrame(rows, "conv_id long, turn long, text string")).collect()}
+    assert [got[t]["reply_to"] for t in (600, 601, 602, 1201)] == [0, 0, None, 1200]
+    assert got[600]["clean_text"] == "I did that." and got[602]["clean_text"] == rows[4][2] and got[602]["n_quoted_lines"] == 1
+
+
+def test_quotes_against_brute_force(spark):
+    rng = np.random.default_rng(5)
+    vocabulary = [f"w{i}" for i in range(40)]
+    rows, said = [], {}
+    for c in range(6):
+        for t in range(40):
+            text = [" ".join(rng.choice(vocabulary, rng.integers(2, 14))) for _ in range(2)]
+            if t and rng.random() < 0.6:
+                of = said[c, int(rng.integers(0, t))].split(" ")
+                a = int(rng.integers(0, len(of)))
+                text.insert(0, "> " + " ".join(of[a : a + int(rng.integers(1, 12))]))
+            said[c, t] = " ".join(x for x in text if x[0] != ">")
+            rows.append((c, t, "\n".join(text)))
+
+    def keys(ws):
+        return {tuple(ws[i : i + 5]) for i in range(len(ws) - 4)} if len(ws) >= 5 else {tuple(ws)} if ws else set()
+
+    spoken = {(c, t): keys(said[c, t].split()) | {k for x in text.split("\n") if x[0] != ">" and len(x.split()) < 5 for k in keys(x.split())} for c, t, text in rows}
+    want = {}
+    for c, t, text in rows:
+        own = keys([w for x in text.split("\n") if x[0] == ">" for w in x[2:].split()])
+        votes = {}
+        for k in own:
+            origin = max((o for o in range(t) if k in spoken[c, o]), default=None)
+            if origin is not None:
+                votes[origin] = votes.get(origin, 0) + 1
+        best = max(((n, o) for o, n in votes.items()), default=(0, None))
+        want[c, t] = best[1] if own and best[0] >= 0.5 * len(own) else None
+    got = {(r["conv_id"], r["turn"]): r["reply_to"] for r in quote_linking.link(spark.createDataFrame(rows, "conv_id long, turn long, text string")).collect()}
+    assert got == want and sum(v is not None for v in want.values()) > 30
 
 
 def test_passages_with_lost_and_added_words(spark):
