@@ -7,8 +7,18 @@ from pyspark.sql import functions as F
 
 INVERSE = "_(inv)"
 #: Attribute names whose values are names of the entity (fixed values).
-NAME_ATTRIBUTES = ("name", "title", "label")
-ANSWER = r"(?i)(?:the )?(?:correct )?answer ?(?:should be)? ?(?:is)? ?[:=]? ?\(([a-z])\)"
+NAME_ATTRIBUTES = (
+    "name", "label", "title", "nick", "nickname", "alias", "aka", "also known as", "alternative name", "alternative names", "other name", "other names",
+    "othername", "othernames", "other", "others", "altname", "altnames", "alt", "alsoknownas", "alsoknown", "alsoknowns", "alsoknownsa",
+    "givenname", "givennames", "given", "firstname", "firstnames", "first", "forename", "forenames", "fore", "surname", "surnames", "sur",
+    "lastname", "lastnames", "last", "familyname", "familynames", "family", "maidenname", "maidennames", "maiden", "birthname", "birthnames", "birth",
+    "originalname", "originalnames", "original", "realname", "realnames", "real", "truenames", "truename", "true", "legalname", "legalnames", "legal",
+    "officialname", "officialnames", "official", "formalname", "formalnames", "formal", "commonname", "commonnames", "common", "nicknames",
+    "pseudonym", "pseudonyms", "pseudo", "penname", "pennames", "pen", "st",
+)
+#: "answer", perhaps "should be" or "is" and a sign, then one letter in brackets, with any white space between.
+#: Every run is possessive, so long white space is read once.
+ANSWER = r"(?iU)answer\s*+(?:should\s++be\s*+)?(?:is\s*+)?[:=]?\s*+\(([a-zA-Z])\)"
 
 
 def last_segment(url: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -18,9 +18,11 @@ def hits(ranks: DataFrame, ks=(1, 10, 50)) -> DataFrame:
 
 
 def calibration(scored: DataFrame, bins: int = 10) -> DataFrame:
-    """Equal-width bins [lo, hi) over [0, 1) for (prob, label)."""
+    """Equal-width bins [lo, hi) over [0, 1) for (prob, label); empty ones have n 0 and null means."""
     b = scored.where("prob >= 0 and prob < 1").withColumn("bin", F.floor(F.col("prob") * bins).cast("int"))
-    return b.groupBy("bin").agg(F.count("*").alias("n"), F.round(F.avg("prob"), 8).alias("mean_prob"), F.round(F.avg(F.col("label").cast("double")), 8).alias("mean_label"))
+    got = b.groupBy("bin").agg(F.count("*").alias("n"), F.round(F.avg("prob"), 8).alias("mean_prob"), F.round(F.avg(F.col("label").cast("double")), 8).alias("mean_label"))
+    spine = scored.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
+    return spine.join(got, "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"), "mean_prob", "mean_label")
 
 
 def score_gap(ranked: DataFrame) -> DataFrame:
@@ -55,3 +57,80 @@ def rerank_rank(scored: DataFrame, gold: DataFrame) -> DataFrame:
 
 def strata(ranks: DataFrame, k: int) -> DataFrame:
     return ranks.agg(F.sum((F.coalesce("rk", F.lit(1 << 30)) > k).cast("bigint")).alias("not_at_topk"), F.sum((F.coalesce("rk", F.lit(0)) == 1).cast("bigint")).alias("at_top1"), F.sum(F.coalesce(F.col("rk").between(2, k), F.lit(False)).cast("bigint")).alias("between"))
+
+
+def _rate(ok) -> Column:
+    """The share of rows, 0 for no rows, to 8 places."""
+    return F.round(F.coalesce(F.avg(ok.cast("double")), F.lit(0.0)), 8)
+
+
+def retriever_metrics(ranks: DataFrame, listed: int, ks=(1, 3, 5, 10)) -> DataFrame:
+    """Hits@k and MRR of gold ranks (q, rk) in lists of ``listed``: a gold that is not listed counts as the last place."""
+    rk = F.when(F.col("rk") <= listed, F.col("rk")).otherwise(F.lit(listed))
+    return ranks.agg(*[_rate(rk <= k).alias(f"eval_hits{k}") for k in ks], F.round(F.avg(1 / rk), 8).alias("eval_mrr"))
+
+
+def rerank_metrics(reranked: DataFrame, ranks: DataFrame, ks=(1, 3, 5, 6, 7, 8, 9, 10)) -> DataFrame:
+    """Hits@k and MRR over all queries: recalled ones (q, rk) by their new rank, the others by their retrieval rank, no hit."""
+    every = ranks.select("q", F.col("rk").alias("old")).join(reranked.select("q", F.col("rk").alias("new")), "q", "left")
+    best = F.coalesce(1 / F.col("new"), 1 / F.col("old"), F.lit(0.0))
+    return every.agg(*[_rate(F.coalesce(F.col("new") <= k, F.lit(False))).alias(f"hits_{k}") for k in ks], F.round(F.avg(best), 8).alias("mrr"), F.count("new").alias("recalled"), F.count("*").alias("n"))
+
+
+def reranker_metrics(ranks: DataFrame, top: int = 10, ks=(1, 3, 5, 10)) -> DataFrame:
+    """Group metrics of gold ranks (q, rk): over groups whose gold is in the first ``top`` only, and hits over all groups."""
+    own = F.when(F.col("rk") <= top, F.col("rk"))
+    kept = [F.round(F.avg((own <= k).cast("double")), 8).alias(f"eval_hits{k}") for k in ks]
+    return ranks.agg(*kept, F.round(F.avg(1 / own), 8).alias("eval_mrr"), *[_rate(F.coalesce(F.col("rk") <= k, F.lit(False))).alias(f"all_hits{k}") for k in ks])
+
+
+def pair_hits(found: DataFrame, gold: DataFrame) -> DataFrame:
+    """(correct, total, hits_1): gold pairs (q, gold) that are among the found ones (q, c)."""
+    hit = found.select("q", F.col("c").alias("gold"), F.lit(1).alias("ok")).distinct()
+    out = gold.join(hit, ["q", "gold"], "left").agg(F.count("ok").alias("correct"), F.count("*").alias("total"))
+    return out.select("correct", "total", F.round(F.coalesce(F.col("correct") / F.nullif("total", F.lit(0)), F.lit(0.0)), 8).alias("hits_1"))
+
+
+def confidence(gaps: DataFrame, threshold: float) -> DataFrame:
+    """(q, low): a query whose best score leads by less than the threshold is of low confidence."""
+    return gaps.select("q", (F.col("gap") < threshold).alias("low"))
+
+
+def confidence_hits(split: DataFrame, ranks: DataFrame, answers: DataFrame) -> DataFrame:
+    """Hits@1 of all, low and high confidence: low ones by answers (q, ok), high ones by rank 1."""
+    rows = split.join(ranks.select("q", "rk"), "q", "left").join(answers.select("q", "ok"), "q", "left")
+    ok = F.when(F.col("low"), F.coalesce("ok", F.lit(False))).otherwise(F.coalesce(F.col("rk") == 1, F.lit(False))).cast("double")
+    part = lambda low: F.round(F.coalesce(F.avg(F.when(F.col("low") == low, ok)), F.lit(0.0)), 8)
+    return rows.agg(F.round(F.avg(ok), 8).alias("hits_1"), part(True).alias("low_hits_1"), part(False).alias("high_hits_1"))
+
+
+def unsolved_candidates(ranked: DataFrame, split: DataFrame) -> DataFrame:
+    """How many candidates low-confidence queries keep when the first candidates of the high ones are taken: least, most, mean."""
+    rows = ranked.join(split, "q")
+    solved = rows.where("not low and rk = 1").select("c").distinct()
+    left = rows.where("low").join(solved.withColumn("solved", F.lit(1)), "c", "left").groupBy("q").agg(F.sum(F.when(F.col("solved").isNull(), 1).otherwise(0)).alias("n"))
+    return left.agg(F.min("n").alias("least"), F.max("n").alias("most"), F.round(F.avg("n"), 8).alias("mean"))
+
+
+def top1_summary(ranked: DataFrame, gold: DataFrame, floor: float = -1.0) -> DataFrame:
+    """Best scores over ``floor``: least, most and mean where the first candidate is gold, their number and share of all."""
+    top = ranked.where("rk = 1").join(gold, "q", "left")
+    hit = (F.col("score") > floor) & F.coalesce(F.col("c") == F.col("gold"), F.lit(False))
+    own = F.when(hit, F.col("score"))
+    over = F.sum((F.col("score") > floor).cast("bigint"))
+    return top.agg(F.max(own).alias("most"), F.min(own).alias("least"), F.round(F.avg(own), 8).alias("mean"), F.count(own).alias("hits"), F.round(F.count(own) / F.count("*"), 8).alias("hits_1"), F.round(F.coalesce(F.sum(own), F.lit(0.0)) / over, 8).alias("mean_of_all"))
+
+
+def hits_in_band(gaps: DataFrame, ranks: DataFrame, low: float, high: float, ks=(1, 5, 10)) -> DataFrame:
+    """Hits@k of queries whose gap lies strictly between low and high."""
+    rows = gaps.where((F.col("gap") > low) & (F.col("gap") < high)).join(ranks.select("q", "rk"), "q", "left")
+    return rows.agg(F.count("*").alias("n"), *[_rate(F.coalesce(F.col("rk") <= k, F.lit(False))).alias(f"hits_{k}") for k in ks])
+
+
+def case_records(top: DataFrame, gold: DataFrame, answers: DataFrame) -> DataFrame:
+    """One record a query: candidates in order, gold, whether it is among them, its letter, the answer's letter, correct."""
+    found = top.groupBy("q").agg(F.transform(F.array_sort(F.collect_list(F.struct("rk", "c"))), lambda x: x["c"]).alias("candidates"))
+    rows = found.join(gold, "q", "left").join(answers.select("q", "answer"), "q", "left")
+    place = F.array_position("candidates", F.col("gold"))
+    letter = F.when(place > 0, F.char(96 + place))
+    return rows.select("q", "gold", "candidates", F.coalesce(place > 0, F.lit(False)).alias("gold_in_candidates"), letter.alias("truth"), "answer", F.coalesce(letter == F.col("answer"), F.lit(False)).alias("correct"))

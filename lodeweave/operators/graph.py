@@ -25,11 +25,14 @@ def entities(rel: DataFrame, attr: DataFrame) -> DataFrame:
 
 
 def stats(rel: DataFrame, attr: DataFrame) -> DataFrame:
-    """Entities, relations (with inverses) and attributes of each graph."""
-    e = entities(rel, attr).groupBy("kg").agg(F.count("*").alias("entities"))
-    r = rel.groupBy("kg").agg((2 * F.countDistinct("rel")).alias("relations"))
-    a = attr.groupBy("kg").agg(F.countDistinct("attr").alias("attributes"))
-    return e.join(r, "kg").join(a, "kg")
+    """Entities, relations (with inverses) and attributes of each graph, in one pass over the triples."""
+
+    def named(**kinds: str):
+        return F.explode(F.array(*[F.struct(F.lit(k.rstrip("_")).alias("kind"), F.col(c).alias("x")) for k, c in kinds.items()])).alias("y")
+
+    every = rel.select("kg", named(e="head", e_="tail", r="rel")).unionByName(attr.select("kg", named(e="entity", a="attr"))).select("kg", "y.*").distinct()
+    count = lambda kind: F.sum((F.col("kind") == kind).cast("bigint"))
+    return every.groupBy("kg").agg(count("e").alias("entities"), (2 * count("r")).alias("relations"), count("a").alias("attributes"))
 
 
 def adjacency(rel: DataFrame) -> DataFrame:

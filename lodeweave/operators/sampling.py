@@ -2,20 +2,37 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import hash_order
+from ..storage import save
 
 
 def uniform(df: DataFrame, key: str, n: int, seed: str = "7") -> DataFrame:
     return df.orderBy(hash_order(seed, F.col(key)), key).limit(n)
 
 
-def first_share(df: DataFrame, keep: Column, order: list) -> DataFrame:
-    """Rows with ``first``: whether their place in the order is under keep(n).  One window over all rows: for key tables."""
-    n = F.count("*").over(Window.partitionBy())
-    return df.withColumn("first", (F.row_number().over(Window.orderBy(*order)) <= keep(n)))
+def numbered(df: DataFrame, order: list, name: str = "k") -> DataFrame:
+    """df with a gapless number from 1 in the given order, and _all rows in all.
+
+    Rows are dealt out by ranges of the order and numbered inside each range, so no task holds the whole
+    table; one count a range gives where it starts.  Ties of the order are numbered in any order.
+    """
+    dealt = save(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    counts = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    every = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    starts = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"), F.sum("_n").over(every).alias("_all"))
+    inner = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return dealt.withColumn("_inner", inner).join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + F.col("_inner")).drop("_part", "_inner", "_start")
+
+
+def first_share(df: DataFrame, keep: Callable[[Column], Column], order: list) -> DataFrame:
+    """Rows with ``first``: whether their place in the order is at most keep(n) of n rows."""
+    return numbered(df, order, "_k").withColumn("first", F.col("_k") <= keep(F.col("_all"))).drop("_k", "_all")
 
 
 def weighted(df: DataFrame, group: str, key: Column, weight: Column, n: int, seed: str = "7") -> DataFrame:

@@ -134,8 +134,7 @@ def _links(s, d):
 
 @query(kg_sql(f", {SHARED} SELECT e, k - 1 AS id1, k - 1 + n AS id2 FROM (SELECT e, row_number() OVER (ORDER BY e) AS k, count(*) OVER () AS n FROM shared)"))
 def link_ids(s, d):
-    k = F.row_number().over(Window.orderBy("e")) - 1
-    return _links(s, d).select("e", k.cast("bigint").alias("id1"), (k + F.count("*").over(Window.partitionBy())).cast("bigint").alias("id2"))
+    return sampling.numbered(_links(s, d), ["e"]).select("e", (F.col("k") - 1).alias("id1"), (F.col("k") - 1 + F.col("_all")).alias("id2"))
 
 
 @query(kg_sql(f", {SHARED} SELECT e, k <= floor(0.3 * n) AS train FROM (SELECT e, row_number() OVER (ORDER BY e) AS k, count(*) OVER () AS n FROM shared)"))
@@ -149,9 +148,13 @@ def split_90_10(s, d):
     return sampling.first_share(c, lambda n: n - F.floor(0.1 * n), [N.hash_order("7", F.col("c_custkey")), "c_custkey"]).select("c_custkey", F.col("first").alias("train"))
 
 
-@query(kg_sql("SELECT key, n, side FROM (SELECT head AS key, count(*) AS n, 'url' AS side FROM (SELECT DISTINCT kg, head FROM rel) GROUP BY 1 HAVING count(*) > 1)"))
+@query("SELECT c_custkey::VARCHAR AS key, 2 AS n, 'id' AS side FROM customer WHERE c_custkey % 50 = 0 UNION ALL SELECT c_mktsegment, count(*), 'url' FROM customer WHERE c_custkey % 50 = 0 GROUP BY 1 HAVING count(*) > 1 UNION ALL SELECT c_name, 2, 'url' FROM customer WHERE c_custkey % 50 = 25")
 def id_map_check(s, d):
-    ids = relations(s, d).select("kg", "head").distinct().select(F.xxhash64("kg", "head").alias("id"), F.col("head").alias("url"))
+    """An id map with planted faults: ids that occur twice, with one url and with another."""
+    cust = table(s, d, "customer")
+    ids = cust.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("url"))
+    ids = ids.unionByName(cust.where("c_custkey % 50 = 0").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("url")))
+    ids = ids.unionByName(cust.where("c_custkey % 50 = 25").select((-1 - F.col("c_custkey")).alias("id"), F.col("c_name").alias("url")))
     return readers.id_map_faults(ids).select("key", F.col("count").alias("n"), "side")
 
 
@@ -185,10 +188,10 @@ def parse_ntriples(s, d):
     return readers.parse_ntriples(c.select(line.alias("value")).unionByName(c.limit(3).select(F.lit("broken line").alias("value"))))
 
 
-@query("SELECT c_custkey, c_name AS plain, c_name AS typed, c_name AS tagged FROM customer")
+@query("SELECT c_custkey, c_name AS plain, c_name AS typed, c_name AS tagged, c_name || ' said yes n' AS escaped, c_name AS bare FROM customer")
 def clean_literals(s, d):
     q = F.concat(F.lit('"'), "c_name", F.lit('"'))
-    return table(s, d, "customer").select("c_custkey", N.clean_literal(q).alias("plain"), N.clean_literal(F.concat(q, F.lit("^^<http://x#string>"))).alias("typed"), N.clean_literal(F.concat(q, F.lit("@en"))).alias("tagged"))
+    return table(s, d, "customer").select("c_custkey", N.clean_literal(q).alias("plain"), N.clean_literal(F.concat(q, F.lit("^^<http://x#string>"))).alias("typed"), N.clean_literal(F.concat(q, F.lit("@en"))).alias("tagged"), N.clean_literal(F.concat(F.lit('"'), "c_name", F.lit(' said \\"yes\\" \\n"^^<http://www.w3.org/2001/XMLSchema#string>'))).alias("escaped"), N.clean_literal(F.col("c_name")).alias("bare"))
 
 
 @query("SELECT page_id, md5('zh_en|' || url || '|use_url=true') AS key FROM pages")
@@ -221,7 +224,7 @@ def verbalize_header(s, d):
     return verbalize.header(graph.entities(relations(s, d), attributes(s, d)), attributes(s, d))
 
 
-REL_LINES = f"SELECT kg, head AS entity, string_agg({E('head')} || ' ' || {P('rel')} || ' ' || {E('tail')}, chr(10) ORDER BY rel, tail) AS relations FROM rel GROUP BY ALL"
+REL_LINES = f"SELECT kg, head AS entity, string_agg({E('head')} || '  ' || {P('rel')} || ' ' || {E('tail')} || ' ', chr(10) ORDER BY rel, tail) AS relations FROM rel GROUP BY ALL"
 ATTR_LINES = f"SELECT kg, entity, string_agg({P('attr')} || ' ' || value, chr(10) ORDER BY attr, value) AS attributes FROM attr GROUP BY ALL"
 
 
@@ -237,13 +240,13 @@ def verbalize_attributes(s, d):
 
 @query(kg_sql(f", rl AS ({REL_LINES}), al AS ({ATTR_LINES}), ents AS (SELECT kg, head AS entity FROM rel UNION SELECT kg, tail FROM rel UNION SELECT kg, entity FROM attr) SELECT kg, entity, {E('entity')} || ' ' || coalesce(chr(10) || relations, '') || coalesce(chr(10) || attributes, '') AS sequence FROM ents LEFT JOIN rl USING (kg, entity) LEFT JOIN al USING (kg, entity)"))
 def verbalize_full(s, d):
-    return verbalize.full(relations(s, d), attributes(s, d), use_name=False)
+    return verbalize.full(relations(s, d), attributes(s, d), verbalize.Flags(use_name=False))
 
 
-@query("SELECT conv_id, turn, nullif(lower(regexp_extract(t, '(?i)(?:the )?(?:correct )?answer ?(?:should be)? ?(?:is)? ?[:=]? ?\\(([a-z])\\)', 1)), '') AS answer FROM (SELECT conv_id, turn, CASE WHEN turn % 5 = 4 THEN 'nope' ELSE 'The correct answer : (' || chr((97 + turn % 4)::INT) || ')' END AS t FROM conversations)")
+@query("SELECT conv_id, turn, nullif(lower(regexp_extract(t, '(?i)(?:the\\s+)?(?:correct\\s+)?answer\\s*(?:should\\s+be)?\\s*(?:is)?\\s*[:=]?\\s*\\(([a-zA-Z])\\)', 1)), '') AS answer FROM (SELECT conv_id, turn, CASE WHEN turn % 5 = 4 THEN 'nope' ELSE 'The  correct answer' || chr(10) || ' should  be is :  (' || chr((65 + turn % 4)::INT) || ')' END AS t FROM conversations)")
 def parse_answers(s, d):
     c = table(s, d, "conversations")
-    t = F.when(F.col("turn") % 5 == 4, "nope").otherwise(F.concat(F.lit("The correct answer : ("), F.char(97 + F.col("turn") % 4), F.lit(")")))
+    t = F.when(F.col("turn") % 5 == 4, "nope").otherwise(F.concat(F.lit("The  correct answer\n should  be is :  ("), F.char(65 + F.col("turn") % 4), F.lit(")")))
     return c.select("conv_id", "turn", N.parse_answer(t).alias("answer"))
 
 
@@ -269,7 +272,7 @@ def _ranked(s, d, k=None, metric="cosine"):
 
 
 def _ranks(s, d):
-    return evaluate.gold_rank(_ranked(s, d), vectors(s, d)[2])
+    return similarity.gold_ranks(*vectors(s, d))
 
 
 def _knn(metric):
@@ -301,7 +304,7 @@ def retrieval_eval(s, d):
 
 @query(vec_sql(f"SELECT q, gold, rk FROM {RANK}"))
 def gold_position(s, d):
-    return _int(_ranks(s, d), "rk")
+    return _ranks(s, d)
 
 
 @query(vec_sql(f"SELECT sum((coalesce(rk, 99999999) > 10)::INT)::BIGINT AS not_at_topk, sum((coalesce(rk, 0) = 1)::INT)::BIGINT AS at_top1, sum((rk BETWEEN 2 AND 10)::INT)::BIGINT AS between FROM {RANK}".replace("AS between", 'AS "between"')))
@@ -311,7 +314,7 @@ def strata_sizes(s, d):
 
 def _strategy(name, spark_filter, sql_filter):
     def run(s, d):
-        return _int(_ranks(s, d).where(spark_filter), "rk")
+        return _ranks(s, d).where(spark_filter)
 
     run.__name__ = f"test_strategy_{name}"
     query(vec_sql(f"SELECT q, gold, rk FROM {RANK} WHERE {sql_filter}"))(run)
@@ -358,7 +361,7 @@ def cutoff_moving_avg(s, d):
     return evaluate.cutoff_moving(_ranked(s, d, 50))
 
 
-@query(vec_sql("SELECT bin, count(*) AS n, round(avg(p), 8) AS mean_prob, round(avg((label = dlabel)::INT), 8) AS mean_label FROM (SELECT *, (score + 1) / 2 AS p, floor((score + 1) / 2 * 10)::INT AS bin FROM sim) WHERE p >= 0 AND p < 1 GROUP BY bin"))
+@query(vec_sql("SELECT s.bin, count(p) AS n, round(avg(p), 8) AS mean_prob, round(avg((label = dlabel)::INT), 8) AS mean_label FROM (SELECT unnest(range(10))::INT AS bin) s LEFT JOIN (SELECT *, (score + 1) / 2 AS p, floor((score + 1) / 2 * 10)::INT AS bin FROM sim WHERE score >= -1 AND score < 1) x ON x.bin = s.bin GROUP BY s.bin"))
 def calibration_bins(s, d):
     q, docs, _ = vectors(s, d)
     r = _ranked(s, d).join(q.select(F.col("id").alias("q"), "label"), "q").join(docs.select(F.col("id").alias("c"), F.col("label").alias("dl")), "c")
@@ -442,9 +445,9 @@ def sample_exponential(s, d):
 # --- voting and transport -------------------------------------------------------------------------
 
 
-@query("SELECT conv_id, cand, n FROM (SELECT conv_id, cand, n, row_number() OVER (PARTITION BY conv_id ORDER BY n DESC, first) AS k, sum(n) OVER (PARTITION BY conv_id) AS total FROM (SELECT conv_id, (turn * 7 + conv_id) % 3 AS cand, count(*) AS n, min(turn) AS first FROM conversations GROUP BY ALL)) WHERE k = 1 AND n > floor(total / 2)")
+@query("SELECT conv_id, cand, n FROM (SELECT conv_id, cand, n, row_number() OVER (PARTITION BY conv_id ORDER BY n DESC, first) AS k, sum(n) OVER (PARTITION BY conv_id) AS total FROM (SELECT conv_id, (turn * turn + conv_id) % 3 AS cand, count(*) AS n, min(turn) AS first FROM conversations GROUP BY ALL)) WHERE k = 1 AND n > floor(total / 2)")
 def bootstrap_vote(s, d):
-    v = table(s, d, "conversations").select("conv_id", "turn", ((F.col("turn") * 7 + F.col("conv_id")) % 3).alias("cand"))
+    v = table(s, d, "conversations").select("conv_id", "turn", ((F.col("turn") * F.col("turn") + F.col("conv_id")) % 3).alias("cand"))
     n = v.groupBy("conv_id", "cand").agg(F.count("*").alias("n"), F.min("turn").alias("first"))
     w = Window.partitionBy("conv_id")
     n = n.withColumn("k", F.row_number().over(w.orderBy(F.desc("n"), "first"))).withColumn("total", F.sum("n").over(w))
@@ -459,58 +462,57 @@ def pool_step(s, d):
     return e.select("vec_id", state.alias("state"), F.when(ok, 0).otherwise(F.coalesce("prev", F.lit(0)) + 1).alias("n"))
 
 
-SMALL = "e1 AS (SELECT head, rel, tail FROM rel WHERE kg = 1 AND rel NOT LIKE '%boughtPart'), e2 AS (SELECT head, rel, tail FROM rel WHERE kg = 2 AND rel NOT LIKE '%purchasedItem'), anc AS (SELECT 'http://kg1.example.org/resource/' || e AS e1, 'http://kg2.example.org/resource/' || e AS e2 FROM shared)"
+WHOLE = ", e1 AS MATERIALIZED (SELECT head, rel, tail FROM rel WHERE kg = 1), e2 AS MATERIALIZED (SELECT head, rel, tail FROM rel WHERE kg = 2), anc AS MATERIALIZED (SELECT 'http://kg1.example.org/resource/' || e AS e1, 'http://kg2.example.org/resource/' || e AS e2 FROM shared)"
+COUNTS = "cooc AS MATERIALIZED (SELECT e1.rel AS rel1, e2.rel AS rel2, count(*) AS n FROM e1 JOIN anc h ON e1.head = h.e1 JOIN anc t ON e1.tail = t.e1 JOIN e2 ON e2.head = h.e2 AND e2.tail = t.e2 GROUP BY ALL), al AS MATERIALIZED (SELECT rel1 AS r1, rel2 AS r2 FROM (SELECT *, row_number() OVER (PARTITION BY rel1 ORDER BY n DESC, rel2) AS k FROM cooc) WHERE k = 1)"
+SUMMARY = "SELECT {a}, count(*) AS partners, sum(votes)::BIGINT AS votes, max(votes) AS most, min(CASE WHEN votes = top THEN {b} END) AS best FROM (SELECT *, max(votes) OVER (PARTITION BY {a}) AS top FROM v) GROUP BY {a}"
 
 
-def _small(s, d):
-    r = relations(s, d).where("rel not like '%boughtPart' and rel not like '%purchasedItem'")
-    e = _links(s, d)
+def _whole(s, d):
+    """Both graphs with every relation, and every anchor."""
+    r, e = relations(s, d), _links(s, d)
     anchors = e.select(F.concat(F.lit("http://kg1.example.org/resource/"), "e").alias("e1"), F.concat(F.lit("http://kg2.example.org/resource/"), "e").alias("e2"))
     return r.where("kg = 1").drop("kg"), r.where("kg = 2").drop("kg"), anchors
 
 
-@query(kg_sql(f", {SHARED}, {SMALL} SELECT e1.rel AS rel1, e2.rel AS rel2, count(*) AS n FROM e1 JOIN anc h ON e1.head = h.e1 JOIN anc t ON e1.tail = t.e1 JOIN e2 ON e2.head = h.e2 AND e2.tail = t.e2 GROUP BY ALL"))
+def _summary(votes, a, b):
+    """Of all voted pairs, for each entity: how many partners, all votes, the most votes and the first partner that has them."""
+    return votes.groupBy(a).agg(F.count("*").alias("partners"), F.sum("votes").alias("votes"), F.max("votes").alias("most"), F.min_by(b, F.struct(F.negate("votes"), b)).alias("best"))
+
+
+@query(kg_sql(f", {SHARED}{WHOLE}, {COUNTS} SELECT rel1, rel2, n FROM cooc"))
 def relation_cooccurrence(s, d):
-    a, b, anchors = _small(s, d)
+    a, b, anchors = _whole(s, d)
     return transport.relation_cooccurrence(anchors, a, b)
 
 
-@query(kg_sql(f", {SHARED}, {SMALL} SELECT rel1, rel2 FROM (SELECT *, row_number() OVER (PARTITION BY rel1 ORDER BY n DESC, rel2) AS k FROM (SELECT e1.rel AS rel1, e2.rel AS rel2, count(*) AS n FROM e1 JOIN anc h ON e1.head = h.e1 JOIN anc t ON e1.tail = t.e1 JOIN e2 ON e2.head = h.e2 AND e2.tail = t.e2 GROUP BY ALL)) WHERE k = 1"))
+@query(kg_sql(f", {SHARED}{WHOLE}, {COUNTS} SELECT r1 AS rel1, r2 AS rel2 FROM al"))
 def relation_alignment(s, d):
-    a, b, anchors = _small(s, d)
+    a, b, anchors = _whole(s, d)
     return transport.relation_alignment(transport.relation_cooccurrence(anchors, a, b))
 
 
-@query(kg_sql(f", {SHARED}, {SMALL} SELECT a.tail AS n1, b.tail AS n2, count(*) AS votes FROM anc JOIN e1 a ON a.head = e1 JOIN e2 b ON b.head = e2 WHERE anc.e1 LIKE '%Customer%' GROUP BY ALL"))
-def structural_votes(s, d):
-    a, b, anchors = _small(s, d)
-    side = lambda x: x.select(F.col("head").alias("a"), F.col("tail").alias("b"))
-    return transport.structural_votes(anchors.where("e1 like '%Customer%'"), side(a), side(b))
-
-
-def _whole(s, d):
-    """Both graphs with every relation, and every anchor."""
-    r, e = relations(s, d), _links(s, d)
-    anchors = e.select(F.concat(F.lit("http://kg1.example.org/resource/"), "e").alias("e1"), F.concat(F.lit("http://kg2.example.org/resource/"), "e").alias("e2"))
-    return r.where("kg = 1"), r.where("kg = 2"), anchors
-
-
-@query()
-def relation_cooccurrence_all(s, d):
+def _structural(s, d):
     a, b, anchors = _whole(s, d)
-    return transport.relation_cooccurrence(anchors, a.drop("kg"), b.drop("kg"))
+    both = lambda x: graph.undirected(x.withColumn("kg", F.lit(1))).drop("kg")
+    return transport.structural_votes(anchors, both(a), both(b))
 
 
-@query()
-def relation_alignment_all(s, d):
-    a, b, anchors = _whole(s, d)
-    return transport.relation_alignment(transport.relation_cooccurrence(anchors, a.drop("kg"), b.drop("kg")))
+@query(kg_sql(f", {SHARED}{WHOLE}, u1 AS (SELECT head AS a, tail AS b FROM e1 UNION SELECT tail, head FROM e1), u2 AS (SELECT head AS a, tail AS b FROM e2 UNION SELECT tail, head FROM e2), v AS (SELECT u1.b AS n1, u2.b AS n2, count(*) AS votes FROM anc JOIN u1 ON u1.a = e1 JOIN u2 ON u2.a = e2 GROUP BY ALL) {SUMMARY.format(a='n1', b='n2')}"))
+def structural_votes(s, d):
+    return _summary(_structural(s, d), "n1", "n2")
 
 
 @query()
 def structural_votes_all(s, d):
+    """Every voted pair: some eight million rows at sf0.01, so only the summary has SQL."""
+    return _structural(s, d)
+
+
+@query(kg_sql(f", {SHARED}{WHOLE}, {COUNTS}, v AS (SELECT e1.tail AS t1, e2.tail AS t2, count(*) AS votes FROM anc JOIN e1 ON e1.head = anc.e1 JOIN al ON al.r1 = e1.rel JOIN e2 ON e2.head = anc.e2 AND e2.rel = al.r2 GROUP BY ALL) {SUMMARY.format(a='t1', b='t2')}"))
+def relation_votes(s, d):
     a, b, anchors = _whole(s, d)
-    return transport.structural_votes(anchors, graph.undirected(a).drop("kg"), graph.undirected(b).drop("kg"))
+    pairs = transport.relation_alignment(transport.relation_cooccurrence(anchors, a, b)).withColumnsRenamed({"rel1": "r1", "rel2": "r2"})
+    return _summary(transport.relation_votes(anchors, pairs, a, b), "t1", "t2")
 
 
 def _plan(s, d, proximal):

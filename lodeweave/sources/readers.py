@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.names import clean_literal
+from ..functions.names import clean_literal, entity_name, hash_order
 
 STATEMENT = r'^\s*<([^>]*)>\s+<([^>]*)>\s+"((?:[^"\\]|\\.)*)"(?:@([A-Za-z0-9-]+)|\^\^<([^>]*)>)?\s*\.\s*$'
 
@@ -54,12 +56,91 @@ def strip_side(link, side: int):
     return F.when(F.assert_true(F.startswith(link, F.lit(f"{side}@@")), "wrong side").isNull(), F.split_part(link, F.lit("@@"), F.lit(2)))
 
 
-#: Reader of attribute triples by dataset kind.
-DATASETS = {"DBP15K": "n3", "DW15KV2": "rdf-tsv", "MEDBBK9K": "tsv"}
+def links_by_id(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.csv(path, sep="\t", schema="id1 bigint, id2 bigint", quote="").dropna()
 
 
-def load_attributes(spark: SparkSession, kind: str, path: str) -> DataFrame:
-    form = DATASETS.get(kind.upper())
-    if form is None:
+def link_faults(links: DataFrame) -> DataFrame:
+    """(key, n, side) of entities that are linked more than once; empty for one-to-one links."""
+    a, b = links.columns[:2]
+    sides = [links.groupBy(F.col(c).cast("string").alias("key")).agg(F.count("*").alias("n")).where("n > 1").withColumn("side", F.lit(c)) for c in (a, b)]
+    return sides[0].unionByName(sides[1])
+
+
+def one_to_one(links: DataFrame) -> DataFrame:
+    """The links, or an error if an entity is linked twice."""
+    bad = link_faults(links).first()
+    if bad is not None:
+        raise ValueError(f"{bad['key']} is linked {bad['n']} times on side {bad['side']}")
+    return links
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(ord, value) of the lines of a file in order, ord from 0: the places of lines inside a file survive a single-file scan."""
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n")))
+    return lines.select(F.col("pos").cast("bigint").alias("ord"), F.col("col").alias("value"))
+
+
+def translated_names(ids: DataFrame, lines: DataFrame, other: DataFrame) -> DataFrame:
+    """(kg, entity, translated): line ord of the translation belongs to id ord of the first graph; the other graph keeps its url names."""
+    first = ids.join(lines, "ord", "left").select(F.lit(1).alias("kg"), F.col("url").alias("entity"), F.coalesce("value", entity_name(F.col("url"))).alias("translated"))
+    return first.unionByName(other.select(F.lit(2).alias("kg"), F.col("url").alias("entity"), entity_name(F.col("url")).alias("translated")))
+
+
+SFT = "query string, pos array<string>, neg array<string>"
+
+
+def sft_scan(spark: SparkSession, path: str, most: int | None = None, seed: str = "7") -> DataFrame:
+    """Training records of a JSON-lines file or of every file of a folder, at most ``most`` of each file by hash order."""
+    rows = spark.read.schema(SFT).json(path)
+    if most is None:
+        return rows
+    w = Window.partitionBy("_file").orderBy(hash_order(seed, F.col("query")), "query")
+    named = rows.withColumn("_file", F.input_file_name())
+    return named.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= most).drop("_k", "_file")
+
+
+def corpus_scan(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("text string").json(path)
+
+
+@dataclass(frozen=True)
+class Dataset:
+    """How the files of a dataset kind are read: the form of its attribute triples, whether triples hold ids, and of its links."""
+
+    attributes: str
+    by_id: bool
+    links: str
+
+
+#: Dataset kinds.
+DATASETS = {"DBP15K": Dataset("n3", True, "id"), "DW15KV2": Dataset("rdf-tsv", False, "url"), "MEDBBK9K": Dataset("tsv", False, "prefixed")}
+
+
+def dataset(kind: str) -> Dataset:
+    if kind.upper() not in DATASETS:
         raise ValueError(f"unknown dataset {kind}")
+    return DATASETS[kind.upper()]
+
+
+def load_attributes(spark: SparkSession, kind: str, path: str) -> DataFrame:
+    form = dataset(kind).attributes
     return parse_ntriples(spark.read.text(path)) if form == "n3" else attribute_lines(spark, path, form == "rdf-tsv")
+
+
+def load_relations(spark: SparkSession, kind: str, triples: str, entities: str | None = None, relations: str | None = None) -> DataFrame:
+    """(head, rel, tail) as urls; kinds whose triples hold ids need both id maps."""
+    if not dataset(kind).by_id:
+        return url_triples(spark, triples)
+    rows = spark.read.csv(triples, sep="\t", schema="head bigint, rel bigint, tail bigint", quote="").dropna()
+    return decode(rows, id_map(spark, entities), id_map(spark, relations)).toDF("head", "rel", "tail")
+
+
+def load_links(spark: SparkSession, kind: str, path: str) -> DataFrame:
+    form = dataset(kind).links
+    if form == "id":
+        return one_to_one(links_by_id(spark, path))
+    rows = spark.read.csv(path, sep="\t", schema="url1 string, url2 string", quote="").dropna()
+    if form == "prefixed":
+        rows = rows.select(strip_side(F.col("url1"), 1).alias("url1"), strip_side(F.col("url2"), 2).alias("url2"))
+    return one_to_one(rows)
