@@ -140,10 +140,9 @@ def link(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
         hops = materialize(hops.join(above, ["c", "up"], "left").select("c", "t", F.coalesce("up2", "up").alias("up"), (F.col("d") + F.coalesce("d2", F.lit(0))).alias("d")))
     else:
         raise RuntimeError(f"reply chains did not resolve in {max_rounds} rounds")
-    own = rows.withColumn("key", text_key(text))
-    out = own.join(parent.select(F.col("c").alias("pc"), F.col("t").alias("pt"), F.col("key").alias("pk"), "reply_to", "gone"), (conv == F.col("pc")) & (turn == F.col("pt")) & (F.col("key") == F.col("pk")), "left")
-    roots = hops.select(F.col("c").alias("rc"), F.col("t").alias("rt"), "up", "d")
-    out = out.join(roots, (conv == F.col("rc")) & (F.col("reply_to") == F.col("rt")), "left")
+    roots = hops.select("c", F.col("t").alias("reply_to"), "up", "d")
+    told = parent.join(roots, ["c", "reply_to"], "left").select(F.col("c").alias("pc"), F.col("t").alias("pt"), F.col("key").alias("pk"), "reply_to", "gone", "up", "d")
+    out = rows.withColumn("key", text_key(text)).join(told, (conv == F.col("pc")) & (turn == F.col("pt")) & (F.col("key") == F.col("pk")), "left")
     first = F.col("reply_to").isNull()
     cleaned = F.when(F.col("gone").isNull(), F.trim(text)).otherwise(let(lines(text), lambda l: without(l, F.col("gone"))))
     marked = F.when(F.contains(text, F.lit(">")), F.size(F.filter(F.split(text, "\n"), lambda x: x.rlike(QUOTE)))).otherwise(0)
