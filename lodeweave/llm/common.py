@@ -6,6 +6,7 @@ for a document.  Memory is bounded by ``SLICE_BYTES`` (or one document).
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -24,10 +25,13 @@ ALNUM = np.array([b < 128 and chr(b).isalnum() for b in range(256)])
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one is set only where none is configured (tests)."""
+    """The cluster's shared folder, spark.checkpoint.dir; a temporary one only in local mode (tests), else an error."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodeweave-"))
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if path is None and not re.match(r"local($|\[)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="lodeweave-"))
     return sc.getCheckpointDir()
 
 
@@ -36,8 +40,14 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
+    """Cut the lineage with a reliable checkpoint in the shared folder.
+
+    Spark deletes shuffle files once the driver has collected the plans that wrote them as garbage, which
+    by itself may take half an hour; so the driver is asked to collect them before each step, and long
+    jobs hold the files of their last steps only.
+    """
     shared_dir(df.sparkSession)
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.checkpoint(eager=True)
 
 

@@ -91,7 +91,8 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     fewer than ``min_words`` words, null items and null texts match nothing; a null item id
     is left out; rows that repeat a document's id give rows of their own.  The items are
     taken in blocks of ``block_items``; a block over ``max_item_bytes`` is halved,
-    so what is broadcast is bounded whatever the benchmark's size.
+    so what is broadcast is bounded whatever the benchmark's size; the corpus is scanned once a
+    block.  Empty tables give no rows; other columns are not read.
     """
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
@@ -143,12 +144,14 @@ def _search(own: DataFrame, shared, kind: str) -> DataFrame:
                     if mask is None:
                         mask = masks[q] = _masks(items.words[q])
                     best = None
-                    end = -1
-                    for s in sorted(set(starts)):  # stretches that overlap are read once
+                    spans: list[list[int]] = []
+                    for s in sorted(set(starts)):  # stretches that overlap are one, so each word is read once
                         a, b = max(int(at[doc]), s - k), min(int(at[doc + 1]), s + m + k)
-                        if b <= end:
-                            continue
-                        end = b
+                        if spans and a <= spans[-1][1]:
+                            spans[-1][1] = max(b, spans[-1][1])
+                        else:
+                            spans.append([a, b])
+                    for a, b in spans:
                         d, last = myers(mask, m, words[a:b].tolist())
                         if d <= k and (best is None or d < best[0]):
                             stop = a + last + 1
