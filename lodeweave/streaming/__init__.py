@@ -1 +1 @@
-
+"""Structured Streaming: watermarked windows and running votes."""
