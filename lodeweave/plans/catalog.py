@@ -502,12 +502,6 @@ def structural_votes(s, d):
     return _summary(_structural(s, d), "n1", "n2")
 
 
-@query()
-def structural_votes_all(s, d):
-    """Every voted pair: some eight million rows at sf0.01, so only the summary has SQL."""
-    return _structural(s, d)
-
-
 @query(kg_sql(f", {SHARED}{WHOLE}, {COUNTS}, v AS (SELECT e1.tail AS t1, e2.tail AS t2, count(*) AS votes FROM anc JOIN e1 ON e1.head = anc.e1 JOIN al ON al.r1 = e1.rel JOIN e2 ON e2.head = anc.e2 AND e2.rel = al.r2 GROUP BY ALL) {SUMMARY.format(a='t1', b='t2')}"))
 def relation_votes(s, d):
     a, b, anchors = _whole(s, d)
@@ -520,17 +514,34 @@ def _plan(s, d, proximal):
     return transport.sinkhorn(cost, 10, 0.1, proximal)
 
 
-@query()
+def plan_sql(proximal: bool, body: str, iterations: int = 10, beta: float = 0.1) -> str:
+    """SQL of ``body`` over plan (q, c, p): the iterations, one after the other."""
+    steps = [f", k0 AS MATERIALIZED (SELECT q, c, exp(-(1 - score) / {beta}::DOUBLE) AS k FROM sim), ns AS (SELECT count(DISTINCT q)::DOUBLE AS a, count(DISTINCT c)::DOUBLE AS b FROM k0), u0 AS MATERIALIZED (SELECT DISTINCT q, 1 / a AS u FROM k0, ns), t0 AS MATERIALIZED (SELECT q, c, k, 1 / (a * b) AS t FROM k0, ns)"]
+    for i in range(1, iterations + 1):
+        k = f"(SELECT q, c, k * t AS k FROM t{i - 1})" if proximal else "k0"
+        steps.append(f"v{i} AS MATERIALIZED (SELECT c, 1 / b / sum(k * u) AS v FROM {k} x JOIN u{i - 1} USING (q), ns GROUP BY c, b), u{i} AS MATERIALIZED (SELECT q, 1 / a / sum(k * v) AS u FROM {k} x JOIN v{i} USING (c), ns GROUP BY q, a)")
+        if proximal:
+            steps.append(f"t{i} AS MATERIALIZED (SELECT q, c, x.k, u * x.k * x.t * v AS t FROM t{i - 1} x JOIN u{i} USING (q) JOIN v{i} USING (c))")
+    last = f"SELECT q, c, t AS p FROM t{iterations}" if proximal else f"SELECT q, c, u * k * v AS p FROM k0 JOIN u{iterations} USING (q) JOIN v{iterations} USING (c)"
+    return vec_sql(f"{', '.join(steps)}, plan AS MATERIALIZED ({last}) {body}")
+
+
+ROUNDED = "SELECT q, c, round(p, 10) AS p FROM plan"
+PLAN_RANK = "(SELECT g.q, r.rk FROM gold g LEFT JOIN (SELECT q, c, row_number() OVER (PARTITION BY q ORDER BY p DESC, c) AS rk FROM plan) r ON r.q = g.q AND r.c = g.gold)"
+PLAN_HITS = f"SELECT {', '.join(f'round(avg((coalesce(rk, 99999999) <= {k})::INT), 8) AS hits_{k}' for k in (1, 10, 50))}, round(avg(coalesce(1.0::DOUBLE / rk, 0)), 8) AS mrr, count(*) AS n FROM {PLAN_RANK}"
+
+
+@query(plan_sql(True, ROUNDED))
 def sinkhorn_proximal(s, d):
     return _plan(s, d, True).select("q", "c", F.round("p", 10).alias("p"))
 
 
-@query()
+@query(plan_sql(False, ROUNDED))
 def sinkhorn_classic(s, d):
     return _plan(s, d, False).select("q", "c", F.round("p", 10).alias("p"))
 
 
-@query()
+@query(plan_sql(True, PLAN_HITS))
 def ot_metrics(s, d):
     p = _plan(s, d, True).withColumn("rk", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("p"), "c")))
     return evaluate.hits(evaluate.gold_rank(p, vectors(s, d)[2]))

@@ -12,7 +12,7 @@ from ..functions import names as N
 from ..operators import candidates, evaluate, evidence, graph, models, prompts, rounds, transport, verbalize
 from ..sources import readers, writers
 from ..storage import save
-from .catalog import ATTR_FUN, HASH, RANK, E, P, _int, _ranked, _ranks, query
+from .catalog import ATTR_FUN, HASH, PLAN_HITS, RANK, ROUNDED, E, P, _int, _ranked, _ranks, plan_sql, query
 from .fixtures import KG_SQL, VEC_SQL, SCORES, attributes, kg_sql, relations, table, vec_sql, vectors
 
 ROOT = "http://kg{}.example.org/resource/Part_"
@@ -362,13 +362,13 @@ def relation_cost(s, d):
     return transport.relation_alignment_scored(counts, names, 0.5).select("rel1", "rel2", F.round("cost", 8).alias("cost"))
 
 
-@query()
+@query(plan_sql(False, PLAN_HITS))
 def ot_rerank_metrics(s, d):
     plan = transport.sinkhorn(transport.cost_feature(_ranked(s, d)), 10, 0.1, False)
     return evaluate.hits(evaluate.gold_rank(transport.rerank(plan), vectors(s, d)[2]))
 
 
-@query()
+@query(plan_sql(False, ROUNDED))
 def sinkhorn_blocks(s, d):
     """The classic plan by aggregations; it must be the dense solver's."""
     plan = transport.sinkhorn_blocks(transport.cost_feature(_ranked(s, d)), save, 10, 0.1)
