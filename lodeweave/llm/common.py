@@ -39,16 +39,31 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Spark's switch that deletes a query's shuffle files as soon as the query has ended.
+CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder.
 
-    Spark deletes shuffle files once the driver has collected the plans that wrote them as garbage, which
-    by itself may take half an hour; so the driver is asked to collect them before each step, and long
-    jobs hold the files of their last steps only.
+    Nothing reads the shuffle files of its plan again, so they go with it, not when the driver happens to collect garbage.
     """
-    shared_dir(df.sparkSession)
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    shared_dir(spark)
+    before = spark.conf.get(CLEAN_SHUFFLES, None)
+    spark.conf.set(CLEAN_SHUFFLES, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)  # a plan of its own, made under the switch
+    finally:
+        if before is None:
+            spark.conf.unset(CLEAN_SHUFFLES)
+        else:
+            spark.conf.set(CLEAN_SHUFFLES, before)
+
+
+def release(spark: SparkSession) -> None:
+    """Let the driver collect garbage, so that checkpoints which nothing refers to can go (where Spark is set to delete them)."""
+    spark.sparkContext._jvm.System.gc()
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
