@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import sampling
+
 
 def gold_rank(ranked: DataFrame, gold: DataFrame) -> DataFrame:
     """(q, gold, rk): rank of the gold candidate, null if it is not listed."""
@@ -12,7 +14,11 @@ def gold_rank(ranked: DataFrame, gold: DataFrame) -> DataFrame:
     return gold.join(hit, ["q", "gold"], "left")
 
 
-def hits(ranks: DataFrame, ks=(1, 10, 50)) -> DataFrame:
+#: Cutoffs of retrieval metrics (fixed values).
+CUTOFFS = (1, 10, 50, 100, 300)
+
+
+def hits(ranks: DataFrame, ks=CUTOFFS) -> DataFrame:
     """Hits@k and MRR in one row; a gold that is not listed is no hit and counts 0."""
     return ranks.agg(*[F.round(F.avg((F.coalesce("rk", F.lit(1 << 30)) <= k).cast("double")), 8).alias(f"hits_{k}") for k in ks], F.round(F.avg(F.coalesce(1 / F.col("rk"), F.lit(0.0))), 8).alias("mrr"), F.count("*").alias("n"))
 
@@ -134,3 +140,45 @@ def case_records(top: DataFrame, gold: DataFrame, answers: DataFrame) -> DataFra
     place = F.array_position("candidates", F.col("gold"))
     letter = F.when(place > 0, F.char(96 + place))
     return rows.select("q", "gold", "candidates", F.coalesce(place > 0, F.lit(False)).alias("gold_in_candidates"), letter.alias("truth"), "answer", F.coalesce(letter == F.col("answer"), F.lit(False)).alias("correct"))
+
+
+#: Which queries a test takes, by the rank of their gold candidate.
+STRATEGIES = ("only_not_at_rank_1", "only_at_rank_1", "at_topk", "at_topk_and_not_at_rank_1", "same_proportion_as_test_set", "all")
+
+
+def take(ranks: DataFrame, how: str, k: int = 10, n: int = 100, seed: str = "7") -> DataFrame:
+    """The ranks (q, gold, rk) that a strategy takes; the proportional one draws n by hash, as many of each stratum as it has of all."""
+    rk = F.col("rk")
+    if how not in STRATEGIES:
+        raise ValueError(f"unknown strategy {how}")
+    if how == "same_proportion_as_test_set":
+        stratum = F.when(rk == 1, 0).when(rk <= k, 1).otherwise(2)
+        return sampling.stratified(ranks.withColumn("_stratum", stratum), "_stratum", "q", n, seed).select(*ranks.columns)
+    chosen = {"only_not_at_rank_1": rk > 1, "only_at_rank_1": rk == 1, "at_topk": rk <= k, "at_topk_and_not_at_rank_1": rk.between(2, k), "all": F.lit(True)}
+    return ranks.where(chosen[how])
+
+
+def multiplicity(top: DataFrame, gold: DataFrame) -> DataFrame:
+    """How many candidates there are, how often the most and the least frequent one is listed, and the share of queries whose gold is listed."""
+    often = top.groupBy("c").agg(F.count("*").alias("n")).agg(F.count("*").alias("candidates"), F.max("n").alias("most"), F.min("n").alias("least"))
+    found = gold.join(top.select("q", F.col("c").alias("gold"), F.lit(1).alias("ok")), ["q", "gold"], "left").agg(_rate(F.col("ok").isNotNull()).alias("coverage"))
+    return often.join(F.broadcast(found))
+
+
+def first_misses(ranked: DataFrame, gold: DataFrame) -> DataFrame:
+    """(q, c) of queries whose first candidate is not gold."""
+    return ranked.where("rk = 1").join(gold, "q").where("c <> gold").select("q", "c")
+
+
+def with_gold(top: DataFrame, gold: DataFrame) -> DataFrame:
+    """The candidates (q, c, ..) of queries whose gold is among them."""
+    return top.join(top.join(gold, "q").where("c = gold").select("q"), "q", "left_semi")
+
+
+def contrastive_loss(scored: DataFrame, gold: DataFrame, temperature: float = 0.02) -> DataFrame:
+    """(q, loss): -s / t + log sum exp(s / t) of the gold score among all (q, c, score), shifted by the best score so that nothing overflows."""
+    s = F.col("score") / temperature
+    best = scored.groupBy("q").agg(F.max("score").alias("_best"))
+    rows = scored.join(best, "q").join(gold, "q")
+    total = F.ln(F.sum(F.exp(s - F.col("_best") / temperature))) + F.max("_best") / temperature
+    return rows.groupBy("q").agg(F.round(total - F.max(F.when(F.col("c") == F.col("gold"), s)), 6).alias("loss"))

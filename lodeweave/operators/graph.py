@@ -36,7 +36,18 @@ def stats(rel: DataFrame, attr: DataFrame) -> DataFrame:
 
 
 def adjacency(rel: DataFrame) -> DataFrame:
-    return rel.groupBy("kg", "head", "rel").agg(F.count("*").alias("n_tails"), F.array_join(F.array_sort(F.collect_set("tail")), " ").alias("tails"))
+    """(kg, head, rel, n_tails, tails): the tails of each head and relation, in order, repeated ones too."""
+    return rel.groupBy("kg", "head", "rel").agg(F.count("*").alias("n_tails"), F.array_join(F.array_sort(F.collect_list("tail")), " ").alias("tails"))
+
+
+def relation_heads(rel: DataFrame) -> DataFrame:
+    """(kg, rel, heads, tails, pairs): how many different heads and tails a relation joins, and how many pairs."""
+    return rel.groupBy("kg", "rel").agg(F.count_distinct("head").alias("heads"), F.count_distinct("tail").alias("tails"), F.count("*").alias("pairs"))
+
+
+def entity_attributes(attr: DataFrame) -> DataFrame:
+    """(kg, entity, attr, values): the different values of each attribute of an entity, in order."""
+    return attr.groupBy("kg", "entity", "attr").agg(F.array_sort(F.collect_set("value")).alias("values"))
 
 
 def relation_functionality(rel: DataFrame) -> DataFrame:

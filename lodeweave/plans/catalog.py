@@ -59,11 +59,21 @@ def entities(s, d):
     return graph.entities(relations(s, d), attributes(s, d))
 
 
-@query(kg_sql("SELECT kg, head, rel, count(*) AS n_tails, string_agg(DISTINCT tail, ' ' ORDER BY tail) AS tails FROM rel GROUP BY ALL"))
+@query(kg_sql("SELECT kg, head, rel, count(*) AS n_tails, string_agg(tail, ' ' ORDER BY tail) AS tails FROM rel GROUP BY ALL"))
 def adjacency(s, d):
     return graph.adjacency(relations(s, d))
 
 
+@query(kg_sql("SELECT kg, rel, count(DISTINCT head) AS heads, count(DISTINCT tail) AS tails, count(*) AS pairs FROM rel GROUP BY ALL"))
+def relation_heads(s, d):
+    return graph.relation_heads(relations(s, d))
+
+
+@query(kg_sql("SELECT kg, entity, attr, string_agg(DISTINCT value, '|' ORDER BY value) AS values FROM attr GROUP BY ALL"))
+def entity_attributes(s, d):
+    return graph.entity_attributes(attributes(s, d)).withColumn("values", F.array_join("values", "|"))
+
+
 @query(kg_sql(f"SELECT DISTINCT kg, r AS rel, {P('r')} AS name FROM (SELECT kg, rel AS r FROM rel UNION ALL SELECT kg, rel || '_(inv)' FROM rel)"))
 def relation_names(s, d):
     return graph.inverse_edges(relations(s, d)).select("kg", "rel").distinct().withColumn("name", N.predicate_name(F.col("rel")))
@@ -297,7 +307,10 @@ for _m in ("cosine", "inner", "euclidean", "manhattan"):
     _sim(_m)
 
 
-@query(vec_sql(f"SELECT round(avg((coalesce(rk, 99999999) <= 1)::INT), 8) AS hits_1, round(avg((coalesce(rk, 99999999) <= 10)::INT), 8) AS hits_10, round(avg((coalesce(rk, 99999999) <= 50)::INT), 8) AS hits_50, round(avg(coalesce(1.0::DOUBLE / rk, 0)), 8) AS mrr, count(*) AS n FROM {RANK}"))
+HITS = f"SELECT {', '.join(f'round(avg((coalesce(rk, 99999999) <= {k})::INT), 8) AS hits_{k}' for k in evaluate.CUTOFFS)}, round(avg(coalesce(1.0::DOUBLE / rk, 0)), 8) AS mrr, count(*) AS n FROM "
+
+
+@query(vec_sql(HITS + RANK))
 def retrieval_eval(s, d):
     return evaluate.hits(_ranks(s, d))
 
@@ -312,16 +325,21 @@ def strata_sizes(s, d):
     return evaluate.strata(_ranks(s, d), 10)
 
 
-def _strategy(name, spark_filter, sql_filter):
+def _strategy(name, sql_filter):
     def run(s, d):
-        return _ranks(s, d).where(spark_filter)
+        return evaluate.take(_ranks(s, d), name)
 
     run.__name__ = f"test_strategy_{name}"
     query(vec_sql(f"SELECT q, gold, rk FROM {RANK} WHERE {sql_filter}"))(run)
 
 
 for _n, _f in {"only_at_rank_1": "rk = 1", "only_not_at_rank_1": "rk > 1", "at_topk": "rk <= 10", "at_topk_and_not_at_rank_1": "rk BETWEEN 2 AND 10"}.items():
-    _strategy(_n, _f, _f)
+    _strategy(_n, _f)
+
+
+@query(vec_sql(f"SELECT q, gold, rk FROM (SELECT *, row_number() OVER (PARTITION BY st ORDER BY {HASH.format('q')}, q) AS i, count(*) OVER (PARTITION BY st) AS m, count(*) OVER () AS n FROM (SELECT *, CASE WHEN rk = 1 THEN 0 WHEN rk <= 10 THEN 1 ELSE 2 END AS st FROM {RANK})) WHERE i <= floor(100 * m::DOUBLE / n)"))
+def test_strategy_same_proportion_as_test_set(s, d):
+    return evaluate.take(_ranks(s, d), "same_proportion_as_test_set")
 
 
 @query(vec_sql("SELECT q, c, score, rk FROM ranked WHERE rk - 1 >= 2 AND rk - 1 < 20"))
@@ -331,14 +349,12 @@ def rank_slice(s, d):
 
 @query(vec_sql("SELECT q, c FROM ranked r WHERE rk = 1 AND c <> (SELECT gold FROM gold g WHERE g.q = r.q)"))
 def not_in_rank1(s, d):
-    return _ranked(s, d, 1).join(vectors(s, d)[2], "q").where("c <> gold").select("q", "c")
+    return evaluate.first_misses(_ranked(s, d, 1), vectors(s, d)[2])
 
 
 @query(vec_sql("SELECT q, c, rk FROM ranked WHERE rk <= 10 AND q IN (SELECT g.q FROM gold g JOIN ranked r ON r.q = g.q AND r.c = g.gold WHERE r.rk <= 10)"))
 def ideal_test(s, d):
-    top, gold = _ranked(s, d, 10), vectors(s, d)[2]
-    ok = top.join(gold, "q").where("c = gold").select("q")
-    return _int(top.join(ok, "q", "left_semi").select("q", "c", "rk"), "rk")
+    return _int(evaluate.with_gold(_ranked(s, d, 10).select("q", "c", "rk"), vectors(s, d)[2]), "rk")
 
 
 @query(vec_sql("SELECT q, round(max(score) - min(score), 6) AS gap FROM ranked WHERE rk <= 2 GROUP BY q"))
@@ -373,9 +389,9 @@ def csls(s, d):
     return similarity.csls(_ranked(s, d).select("q", "c", "score"), 10)
 
 
-@query(vec_sql("SELECT count(DISTINCT c) AS candidates, max(n) AS most, min(n) AS least FROM (SELECT c, count(*) AS n FROM ranked WHERE rk <= 10 GROUP BY c)"))
+@query(vec_sql("SELECT count(DISTINCT c) AS candidates, max(n) AS most, min(n) AS least, (SELECT round(avg((r.c IS NOT NULL)::INT), 8) FROM gold g LEFT JOIN ranked r ON r.q = g.q AND r.c = g.gold AND r.rk <= 10) AS coverage FROM (SELECT c, count(*) AS n FROM ranked WHERE rk <= 10 GROUP BY c)"))
 def candidate_multiplicity(s, d):
-    return _ranked(s, d, 10).groupBy("c").agg(F.count("*").alias("n")).agg(F.count("*").alias("candidates"), F.max("n").alias("most"), F.min("n").alias("least"))
+    return evaluate.multiplicity(_ranked(s, d, 10), vectors(s, d)[2])
 
 
 @query(vec_sql(f"SELECT q, c, rk, row_number() OVER (PARTITION BY q ORDER BY {HASH.format('q || chr(124) || c')}, c) AS ord FROM ranked WHERE rk <= 10"))
@@ -404,10 +420,9 @@ def candidate_filter(s, d):
     return top.join(top.where("rk = 1 and q % 2 = 0").select("c").distinct(), "c", "left_anti").select("q", "c")
 
 
-@query(vec_sql("SELECT q, round(ln(sum(exp(score / 0.5))) - max(CASE WHEN c = gold THEN score END) / 0.5, 6) AS loss FROM sim JOIN gold USING (q) GROUP BY q"))
+@query(vec_sql("SELECT q, round(ln(sum(exp(score / 0.02::DOUBLE))) - max(CASE WHEN c = gold THEN score END) / 0.02::DOUBLE, 6) AS loss FROM sim JOIN gold USING (q) GROUP BY q"))
 def infonce_loss(s, d):
-    r = _ranked(s, d).join(vectors(s, d)[2], "q")
-    return r.groupBy("q").agg(F.round(F.ln(F.sum(F.exp(F.col("score") / 0.5))) - F.max(F.when(F.col("c") == F.col("gold"), F.col("score"))) / 0.5, 6).alias("loss"))
+    return evaluate.contrastive_loss(_ranked(s, d), vectors(s, d)[2])
 
 
 # --- sampling -------------------------------------------------------------------------------------
@@ -528,7 +543,7 @@ def plan_sql(proximal: bool, body: str, iterations: int = 10, beta: float = 0.1)
 
 ROUNDED = "SELECT q, c, round(p, 10) AS p FROM plan"
 PLAN_RANK = "(SELECT g.q, r.rk FROM gold g LEFT JOIN (SELECT q, c, row_number() OVER (PARTITION BY q ORDER BY p DESC, c) AS rk FROM plan) r ON r.q = g.q AND r.c = g.gold)"
-PLAN_HITS = f"SELECT {', '.join(f'round(avg((coalesce(rk, 99999999) <= {k})::INT), 8) AS hits_{k}' for k in (1, 10, 50))}, round(avg(coalesce(1.0::DOUBLE / rk, 0)), 8) AS mrr, count(*) AS n FROM {PLAN_RANK}"
+PLAN_HITS = HITS + PLAN_RANK
 
 
 @query(plan_sql(True, ROUNDED))
