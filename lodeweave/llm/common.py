@@ -90,9 +90,13 @@ def sealed(df: DataFrame) -> tuple[DataFrame, list[str]]:
 
 
 def opened(df: DataFrame, of: DataFrame, names: list[str], added: dict[str, Column | str]) -> DataFrame:
-    """The columns of ``of`` under their own names, then the added ones, which replace columns of their names."""
+    """The columns of ``of`` under their own names, then the added ones, which replace columns of their names.
+
+    The added ones are computed before any column has its own name back, so no name can be taken for another.
+    """
+    made = [(F.col(c) if isinstance(c, str) else c).alias(f"added{i}") for i, c in enumerate(added.values())]
     kept = [F.col(c).alias(n) for c, n in zip(names, of.columns, strict=True) if n not in added]
-    return df.select(*kept, *[(F.col(c) if isinstance(c, str) else c).alias(n) for n, c in added.items()])
+    return df.select(*names, *made).select(*kept, *[F.col(f"added{i}").alias(n) for i, n in enumerate(added)])
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
