@@ -216,6 +216,32 @@ def test_calibration_keeps_empty_bins(spark):
     assert [r["n"] for r in got] == [1, 0, 0, 0, 0, 0, 0, 0, 0, 1] and got[1]["mean_prob"] is None
 
 
+@pytest.fixture(scope="module")
+def pairs(spark):
+    """Queries, documents and gold of a small vector graph with a zero vector, equal vectors and a label that is null."""
+    rng = np.random.default_rng(11)
+    rows = [(i, [float(x) for x in rng.normal(size=4)], i % 3 if i != 5 else None) for i in range(45)]
+    rows[7], rows[30] = (7, [0.0] * 4, 1), (30, rows[29][1], 2)
+    e = spark.createDataFrame(rows, "id long, v array<double>, label int")
+    return e.where("id < 20"), e.where("id >= 20"), e.where("id < 20").select(F.col("id").alias("q"), (F.col("id") + 20).alias("gold"))
+
+
+def shuffled(df) -> list[str]:
+    """The exchanges of the physical plan."""
+    return [x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in x]
+
+
+def test_calibration_of_pairs_makes_no_row_a_pair(spark, pairs, monkeypatch):
+    q, d, _ = pairs
+    monkeypatch.setattr(similarity, "TILE", (3, 7))
+    monkeypatch.setattr(similarity, "TASK_CELLS", 100)
+    scored = similarity.top_k(q, d, None).join(q.select(F.col("id").alias("q"), "label"), "q").join(d.select(F.col("id").alias("c"), F.col("label").alias("dl")), "c")
+    want = evaluate.calibration(scored.select(((F.col("score") + 1) / 2).alias("prob"), (F.col("label") == F.col("dl")).alias("label"))).orderBy("bin").collect()
+    got = evaluate.calibration_of_pairs(q, d)
+    assert got.orderBy("bin").collect() == want
+    assert not [x for x in shuffled(got) if "score" in x or "q#" in x]
+
+
 def test_encoder_and_generator(spark):
     df = spark.createDataFrame([(1, "abcabc"), (2, None), (3, "")], "id long, text string")
     got = {r["id"]: r["v"] for r in models.encode(df).collect()}
