@@ -279,6 +279,37 @@ def test_anchors_of_first_candidates(spark, pairs):
     assert sorted(map(tuple, transport.anchors(plan(1), 0.3).collect())) == sorted(map(tuple, transport.anchors(plan(None), 0.3).collect()))
 
 
+@pytest.mark.parametrize("proximal", [False, True])
+def test_plans_of_pairs_and_cells_agree(spark, pairs, monkeypatch, proximal):
+    """Rows made from vectors and rows packed from cells give the plan of plain numpy, which no single task holds."""
+    q, d, gold = pairs
+    monkeypatch.setattr(transport, "STEP_CELLS", 60)
+    cost = transport.cost_feature(similarity.all_pairs(q, d))
+    k0 = np.exp(-cost.toPandas().pivot(index="q", columns="c", values="cost").to_numpy() / 0.1)
+    n, m = k0.shape
+    t, u = np.full((n, m), 1 / (n * m)), np.full(n, 1 / n)
+    for _ in range(10):
+        k = k0 * t if proximal else k0
+        v = 1 / m / (k.T @ u)
+        u = 1 / n / (k @ v)
+        t = u[:, None] * k * v
+    plan = transport.solve(transport.pair_rows(q, d), 10, 0.1, proximal)
+    table = lambda df: df.toPandas().pivot(index="q", columns="c", values="p").to_numpy()
+    assert np.allclose(table(plan.cells()), t, rtol=1e-9, atol=0)
+    assert np.allclose(table(transport.sinkhorn(cost, 10, 0.1, proximal)), t, rtol=1e-9, atol=0)
+    assert "FlatMapGroups" not in plan.cells()._jdf.queryExecution().executedPlan().toString()
+    want = evaluate.gold_rank(transport.rerank(plan.cells()), gold).orderBy("q").collect()
+    assert plan.gold_ranks(gold).orderBy("q").collect() == want
+
+
+def test_plan_with_holes(spark):
+    cost = spark.createDataFrame([(0, 0, 0.1), (0, 1, 0.5), (1, 1, 0.2), (2, 0, 0.3), (2, 2, 0.4)], "q long, c long, cost double")
+    p = transport.sinkhorn(cost, 300, 0.3, False).toPandas()
+    assert len(p) == 5 and np.allclose(p.groupby("c").p.sum(), 1 / 3, atol=1e-2) and np.allclose(p.groupby("q").p.sum(), 1 / 3)
+    with pytest.raises(Exception, match="twice"):
+        transport.sinkhorn(cost.unionByName(cost), 1)
+
+
 def test_encoder_and_generator(spark):
     df = spark.createDataFrame([(1, "abcabc"), (2, None), (3, "")], "id long, text string")
     got = {r["id"]: r["v"] for r in models.encode(df).collect()}
