@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodeweave.functions import names
-from lodeweave.operators import candidates, evaluate, evidence, models, prompts, rounds, sampling, similarity, transport, verbalize
+from lodeweave.operators import candidates, evaluate, evidence, models, prompts, rounds, sampling, similarity, transport, verbalize, votes
 from lodeweave.sources import readers, writers
 from lodeweave.storage import save
 from lodeweave.streaming import windows
@@ -310,6 +310,22 @@ def test_plan_with_holes(spark):
         transport.sinkhorn(cost.unionByName(cost), 1)
 
 
+@pytest.mark.parametrize("hub", [0, 4, 512])
+def test_summaries_of_votes_against_brute_force(spark, monkeypatch, hub):
+    """Whatever counts as a hub, each entity's partners, votes, most votes and first best partner are those of all pairs."""
+    from collections import Counter
+
+    rng = np.random.default_rng(12)
+    monkeypatch.setattr(votes, "HUB", hub)
+    anchors = [(f"a{k}", f"b{k}") for k in range(12)]
+    edges = [sorted({(f"{side}{min(11, int(rng.integers(14)))}" if rng.random() < 0.7 else f"{side}0", f"n{rng.integers(25)}") for _ in range(110)}) for side in "ab"]
+    n = Counter((x, y) for p, x in edges[0] for q, y in edges[1] if p[1:] == q[1:])
+    want = {x: (len(own), sum(own.values()), max(own.values()), min(y for y, k in own.items() if k == max(own.values()))) for x in {x for x, _ in n} if (own := {y: k for (z, y), k in n.items() if z == x})}
+    frame = lambda rows, cols: spark.createDataFrame(rows, cols)
+    got = votes.structural(frame(anchors, "e1 string, e2 string"), frame(edges[0], "a string, b string"), frame(edges[1], "a string, b string"), save)
+    assert {r[0]: tuple(r)[1:] for r in got.collect()} == want
+
+
 def test_encoder_and_generator(spark):
     df = spark.createDataFrame([(1, "abcabc"), (2, None), (3, "")], "id long, text string")
     got = {r["id"]: r["v"] for r in models.encode(df).collect()}
