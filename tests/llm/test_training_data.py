@@ -604,3 +604,25 @@ def test_shards_against_the_law(docs):
         slots.setdefault(r["shard"], []).append(r["slot"])
         assert r["grown_shard"] in (r["shard"], 24) and 0 <= r["shard"] < 24
     assert all(len(v) == 1 for v in by_id.values()) and all(sorted(v) == list(range(len(v))) for v in slots.values())
+
+
+def test_pairs_of_a_passage_share_their_pieces(spark, monkeypatch):
+    """40 pairs of anchors beside each other are verified from a few pieces, not from two a pair, and all are found."""
+    import pyarrow as pa
+
+    pairs = spark.createDataFrame([(k, 1, 50 + 2 * k, 1000 + k, 2, 53 + 2 * k) for k in range(40)], substring_dedup.PAIR)
+    seq = np.random.default_rng(31).integers(1, 1 << 31, 240).astype(np.uint32)
+    seqs = spark.createDataFrame([(1, bytearray(seq[3:].tobytes())), (2, bytearray(seq.tobytes()))], "d long, seq binary")
+    links = {(r["a"], r["b"]): (r["a_lo"], r["b_hi"]) for r in substring_dedup._verified(pairs, seqs, 46).collect()}
+    assert links == {(k, 1000 + k): (-45, 46 + substring_dedup.PIECE - 1) for k in range(40)}
+
+    def sizes(window):
+        def work(batches):
+            for b in batches:
+                n = sum(len(x) for c in b.columns if pa.types.is_binary(c.type) for x in c.to_pylist())
+                yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())] * 6, names=["a", "b", "a_lo", "a_hi", "b_lo", "b_hi"])
+
+        return work
+
+    monkeypatch.setattr(substring_dedup, "_verify", sizes)
+    assert 0 < sum(r["a"] for r in substring_dedup._verified(pairs, seqs, 46).collect()) < 6000
