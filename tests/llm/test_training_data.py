@@ -626,3 +626,23 @@ def test_pairs_of_a_passage_share_their_pieces(spark, monkeypatch):
 
     monkeypatch.setattr(substring_dedup, "_verify", sizes)
     assert 0 < sum(r["a"] for r in substring_dedup._verified(pairs, seqs, 46).collect()) < 6000
+
+
+def test_words_are_hashed_in_little_memory():
+    """Tables and slices together stay under 40 MB a worker, however many texts there are."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from lodeweave.llm import common
+
+    column = pa.array([" ".join(f"w{x}" for x in range(k, k + 400)) for k in range(2000)])
+    tracemalloc.start()
+    hasher, n = common.WordHasher(), 0
+    for _, _, data, ends in common.slices(column):
+        words, at = hasher(data, ends)
+        n += len(words)
+        assert len(common.grams(words, 5)) == len(words) - 4 and at[-1] == len(words)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 2000 * 400 and peak < 40e6
