@@ -646,3 +646,47 @@ def test_words_are_hashed_in_little_memory():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert n == 2000 * 400 and peak < 40e6
+
+
+def test_sequences_hold_what_members_need():
+    """Of a long text only the shingles around its members stay, and around each of them stands what stands there in the text."""
+    import pyarrow as pa
+
+    rng, w = np.random.default_rng(5), 46
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 10**6, n)) for n in (3000, 60, 400)]
+    places = [[0, 7, 1500, 1530, 2995], [20, 55], [200]]
+    member = pa.array([[{"key": k, "node": 10 * k + i, "pos": p} for i, p in enumerate(own)] for k, own in enumerate(places)], pa.list_(pa.struct([("key", pa.int64()), ("node", pa.int64()), ("pos", pa.int32())])))
+    batch = pa.RecordBatch.from_arrays([pa.array([5, 6, 7]), pa.array(texts), member], names=["d", "text", "members"])
+    again = pa.concat_batches([batch, batch.slice(1, 1)])  # an equal row counts once
+
+    def rows(members):
+        cut = pa.RecordBatch.from_arrays([again.column(0), again.column(1), members], names=again.schema.names)
+        return [r for b in substring_dedup._sequences(w)(iter([cut])) for r in b.to_pylist()]
+
+    every = pa.array([[{"key": 0, "node": 0, "pos": p} for p in range(len(t.split()) - 4)] for t in again.column(1).to_pylist()], member.type)
+    whole, got = rows(every), rows(again.column(2))
+    assert [r["d"] for r in got] == [5, 6, 7] and [len(r["seq"]) // 4 for r in whole] == [2996, 56, 396]
+    assert [len(r["seq"]) // 4 for r in got] == [53 + 121 + 46, 56, 91]
+    for all_of, r, own in zip(whole, got, places, strict=True):
+        seq, text = (np.frombuffer(s["seq"], np.uint32) for s in (r, all_of))
+        here = np.array([m["pos"] for m in r["members"]])
+        assert (substring_dedup._around(seq, here, w) == substring_dedup._around(text, np.array(own), w)).all()
+
+
+def test_verification_in_slices(spark, monkeypatch):
+    """Pieces that take more room than they may are verified slice by slice: no checkpoint holds them all, and no link is lost."""
+    seq = np.random.default_rng(32).integers(1, 1 << 31, 200).astype(np.uint32)
+    seqs = spark.createDataFrame([(d, bytearray(seq.tobytes())) for d in range(40)], "d long, seq binary")
+    pairs = spark.createDataFrame([(1000 + a, a, 100, 1000 + b, b, 100) for a in range(40) for b in range(a)], substring_dedup.PAIR)
+    kept, whole = [], substring_dedup.materialize
+
+    def counted(df):
+        out = whole(df)
+        kept.append(out.count() if "x" in out.columns else 0)
+        return out
+
+    monkeypatch.setattr(substring_dedup, "materialize", counted)
+    monkeypatch.setattr(substring_dedup, "PIECE_BYTES", 1000)
+    links = substring_dedup._verified(pairs, seqs, 46).select("a", "b").collect()
+    assert {(r["a"], r["b"]) for r in links} == {(1000 + a, 1000 + b) for a in range(40) for b in range(a)} and len(links) == 780
+    assert sum(kept) == 780 and max(kept) < 400
