@@ -690,3 +690,26 @@ def test_verification_in_slices(spark, monkeypatch):
     links = substring_dedup._verified(pairs, seqs, 46).select("a", "b").collect()
     assert {(r["a"], r["b"]) for r in links} == {(1000 + a, 1000 + b) for a in range(40) for b in range(a)} and len(links) == 780
     assert sum(kept) == 780 and max(kept) < 400
+
+
+def test_rare_shingles_in_slices(spark, monkeypatch):
+    """The pairs of large groups come in slices of the keys, none in two of them, and all of them come."""
+    rng = np.random.default_rng(33)
+    seqs, rows = [], []
+    for g in range(6):
+        base = rng.integers(1, 1 << 31, 91)
+        for i in range(40):
+            own = base.copy()
+            own[rng.choice(91, 4, replace=False)] = rng.integers(1, 1 << 31, 4)
+            own[45] = base[45]
+            seqs.append((100 * g + i, bytearray(own.astype(np.uint32).tobytes())))
+            rows.append((g, 1000 + 100 * g + i, 45, 100 * g + i, True))
+    seqs, large = spark.createDataFrame(seqs, "d long, seq binary"), spark.createDataFrame(rows, "key long, node long, pos int, d long, open boolean")
+
+    def slices():
+        return [{tuple(r) for r in s.select("key", "a", "b").collect()} for s in substring_dedup._rare_pairs(large, seqs, 46)]
+
+    (whole,) = slices()
+    monkeypatch.setattr(substring_dedup, "MEETINGS", 1)
+    parts = slices()
+    assert len(parts) > 1 and sum(map(len, parts)) == len(whole) and set().union(*parts) == whole and len(whole) == 6 * 40 * 39 // 2
