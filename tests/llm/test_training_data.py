@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodeweave.llm import bbit_minhash, decontaminate, entropy_mix, hash_tree, language_id, pii_bootstrap, quality_rules, quote_linking, substring_dedup, token_codec, token_files
+from lodeweave.llm import bbit_minhash, decontaminate, entropy_mix, hash_tree, language_id, pii_bootstrap, quality_rules, queries, quote_linking, substring_dedup, token_codec, token_files
 from lodeweave.llm.components import connected_components
 from lodeweave.llm.queries import tokenizer_path
 
@@ -713,3 +713,11 @@ def test_rare_shingles_in_slices(spark, monkeypatch):
     monkeypatch.setattr(substring_dedup, "MEETINGS", 1)
     parts = slices()
     assert len(parts) > 1 and sum(map(len, parts)) == len(whole) and set().union(*parts) == whole and len(whole) == 6 * 40 * 39 // 2
+
+
+def test_personal_data_counts_by_kind(spark, tmp_path):
+    """The query counts the base spans of each kind, not the places that spans have among all."""
+    rows = [(1, "10.0.0.1 and x@y.zz"), (2, "+49 30 1234567"), (3, "4111 1111 1111 1111, 4111111111111111"), (4, "a@b.cc d@e.ff g@h.ii"), (5, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.op6_pii_bootstrap(spark, str(tmp_path)).collect()
+    assert {r["doc_id"]: tuple(r[f"n_{k}"] for k in pii_bootstrap.KINDS) for r in got} == {1: (1, 1, 0, 0), 2: (0, 0, 0, 1), 3: (0, 0, 2, 0), 4: (3, 0, 0, 0), 5: (0, 0, 0, 0)}
