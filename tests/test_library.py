@@ -407,3 +407,15 @@ def test_nearest_approximate_joins_no_pairs(spark, monkeypatch):
     want = {(20 * i, int(c)) for i in range(15) for c in np.argsort(d[i], kind="stable")[:5] if d[i, c] < 1.2}
     assert len(want) > 50 and len({(r["q"], r["c"]) for r in got} & want) >= 0.9 * len(want)
     assert all(abs(r["distance"] - d[r["q"] // 20, r["c"]]) < 1e-6 for r in got) and models.nearest_approximate(df, df.limit(0), 5).isEmpty()
+
+
+def test_whole_matrices_come_with_equal_values_together(spark):
+    """Every pair once with its score, and inside a tile equal scores adjoin, so that Parquet's pages hold them once."""
+    rng = np.random.default_rng(8)
+    v = np.round(rng.normal(size=(50, 3)), 1)
+    frame = lambda ids: spark.createDataFrame([(int(i), v[i].tolist()) for i in ids], "id long, v array<double>").coalesce(1)
+    q, d = frame(range(20)), frame(range(20, 50))
+    got = similarity.all_pairs(q, d, "inner", digits=0).toArrow().to_pandas()
+    want = {(i, j): round(float(v[i] @ v[j])) for i in range(20) for j in range(20, 50)}
+    assert len(got) == 600 and {(a, b): int(s) for a, b, s in got.itertuples(index=False)} == {k: x for k, x in want.items()}
+    assert got.score.is_monotonic_increasing
