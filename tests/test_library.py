@@ -419,3 +419,5 @@ def test_whole_matrices_come_with_equal_values_together(spark):
     want = {(i, j): round(float(v[i] @ v[j])) for i in range(20) for j in range(20, 50)}
     assert len(got) == 600 and {(a, b): int(s) for a, b, s in got.itertuples(index=False)} == {k: x for k, x in want.items()}
     assert got.score.is_monotonic_increasing
+    cost = transport.cost_combined_of_pairs(q, d, spark.createDataFrame([(0, 20, 3)], "q long, c long, votes long")).toArrow().to_pandas()
+    assert len(cost.drop_duplicates(["q", "c"])) == 600 and cost.cost.is_monotonic_increasing
