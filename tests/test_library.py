@@ -421,3 +421,14 @@ def test_whole_matrices_come_with_equal_values_together(spark):
     assert got.score.is_monotonic_increasing
     cost = transport.cost_combined_of_pairs(q, d, spark.createDataFrame([(0, 20, 3)], "q long, c long, votes long")).toArrow().to_pandas()
     assert len(cost.drop_duplicates(["q", "c"])) == 600 and cost.cost.is_monotonic_increasing
+
+
+@pytest.mark.parametrize("shared", [0, 1 << 26])
+def test_votes_count_from_shared_partners_as_from_lists(spark, monkeypatch, shared):
+    """Partners sent to all workers, or lists of them shuffled to the voters: the same summaries; voters without partners have none."""
+    monkeypatch.setattr(votes, "HUB", 2)
+    assert votes.SHARED and not monkeypatch.setattr(votes, "SHARED", shared)
+    voters = spark.createDataFrame([(1, 10), (1, 11), (2, 10), (3, 12), (4, 10), (4, 13), (5, 11)], "n long, key long")
+    partners = spark.createDataFrame([(10, 7), (10, 8), (10, 9), (11, 8), (13, 9)], "key long, m long")
+    got = {r[0]: tuple(r)[1:] for r in votes.summaries(voters, partners, save).collect()}
+    assert got == {1: (3, 4, 2, 8), 2: (3, 3, 1, 7), 4: (3, 4, 2, 9), 5: (1, 1, 1, 8)}
