@@ -721,3 +721,60 @@ def test_personal_data_counts_by_kind(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = queries.op6_pii_bootstrap(spark, str(tmp_path)).collect()
     assert {r["doc_id"]: tuple(r[f"n_{k}"] for k in pii_bootstrap.KINDS) for r in got} == {1: (1, 1, 0, 0), 2: (0, 0, 0, 1), 3: (0, 0, 2, 0), 4: (3, 0, 0, 0), 5: (0, 0, 0, 0)}
+
+
+def test_a_line_in_many_texts_makes_no_pairs():
+    """Members that share no more than a short line are not compared, and no pair that is alike is lost, whichever side is open."""
+    rng = np.random.default_rng(9)
+    w, n = 46, 120
+    draw = lambda *size: rng.integers(1, 2**32, size, dtype=np.uint32)
+    line = draw(2 * w - 1)
+    place = np.arange(2 * w - 1)
+    around = np.where((place >= 40) & (place < 70), line, draw(n, 2 * w - 1))
+    found = lambda x, is_open: {p for i, j in substring_dedup._sharing(x, is_open, w) for p in zip(i.tolist(), j.tolist())}
+    assert found(around, np.ones(n, bool)) == set()
+    for k in range(0, 100, 2):  # near copies, some of which repeat shingles, lack words or end early
+        around[k + 1] = np.where(rng.random(2 * w - 1) < 0.06, draw(2 * w - 1), around[k])
+        if k % 3 == 0:
+            around[k : k + 2, 60:80] = around[k, 45]
+        if k % 5 == 0:
+            around[k + 1, :-1][place[:-1] > 50] = around[k + 1, 1:][place[:-1] > 50]
+        if k % 7 == 0:
+            around[k, 85:] = 0
+    is_open = rng.random(n) < 0.7
+    i, j = np.triu_indices(n, 1)
+    hit, _ = substring_dedup.alike(around[i], around[j], w)
+    want = {(a, b) for a, b in zip(i[hit].tolist(), j[hit].tolist()) if is_open[a] or is_open[b]}
+    got = found(around, is_open)
+    assert len(want) > 25 and want <= got and len(got) < len(i) / 4
+
+
+@pytest.mark.parametrize("paired", [2, 32])
+def test_keys_are_clustered_by_one_worker_as_they_are_spread(spark, monkeypatch, paired):
+    """The same passages, whether workers cluster whole keys, in slices and without any pair leaving them, or the cluster shares them."""
+    rng = np.random.default_rng(12)
+    vocabulary = [f"w{k}" for k in range(5000)]
+    passage = rng.choice(vocabulary, 80)
+    rows = []
+    for k in range(60):
+        own = passage.copy()
+        own[rng.choice(80, 3, replace=False)] = rng.choice(vocabulary, 3)
+        rows.append((k, " ".join([*rng.choice(vocabulary, 30), *own, *rng.choice(vocabulary, 30)])))
+    rows += [(100, "other " + rows[3][1]), rows[0]]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(substring_dedup, "PAIRED", paired)
+
+    def clusters():
+        out = {}
+        for r in substring_dedup.repeated_passages(df).collect():
+            out.setdefault(r["component_id"], set()).add((r["doc_id"], r["removed"]))
+        return sorted(map(sorted, out.values()))
+
+    with monkeypatch.context() as m:
+        m.setattr(substring_dedup, "GROUP", 1)
+        spread = clusters()
+    with monkeypatch.context() as m:
+        m.setattr(substring_dedup, "PIECE_BYTES", 1)
+        for gone in ("_verified", "_rare_pairs", "_spread"):
+            m.setattr(substring_dedup, gone, None)
+        assert clusters() == spread and max(map(len, spread)) > 32
