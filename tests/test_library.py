@@ -432,3 +432,19 @@ def test_votes_count_from_shared_partners_as_from_lists(spark, monkeypatch, shar
     partners = spark.createDataFrame([(10, 7), (10, 8), (10, 9), (11, 8), (13, 9)], "key long, m long")
     got = {r[0]: tuple(r)[1:] for r in votes.summaries(voters, partners, save).collect()}
     assert got == {1: (3, 4, 2, 8), 2: (3, 3, 1, 7), 4: (3, 4, 2, 9), 5: (1, 1, 1, 8)}
+
+
+def test_cells_of_rounded_costs_take_three_bytes(spark):
+    """Rows come back the same, holes and costs of more digits too, and rounded ones take less than half the room of doubles."""
+    rng = np.random.default_rng(6)
+    rounded, exact = np.round(rng.random((9, 4000)), 6), rng.random((3, 4000)) * 40 - 20
+    want = np.concatenate((rounded, exact, np.round(exact, 6)))
+    want[2, 5] = want[11, 9] = np.inf
+    want[3, :3] = 0.0, 15.999999, 16.5
+    cells = spark.createDataFrame([(i, 7 * j, float(x)) for (i, j), x in np.ndenumerate(want) if x < np.inf], "q long, c long, cost double").repartition(3)
+    kept = []
+    rows = transport.cell_rows(cells, lambda df: kept.append(df.cache()) or kept[0])
+    got = {int(q): x for batch in kept[0].toArrow().to_batches() for ids, cost in rows.read(iter([batch])) for q, x in zip(ids, cost)}
+    assert all(np.array_equal(got[i], want[i]) for i in range(len(want))) and rows.count == len(want)
+    size = {r["q"]: sum(len(p["x"]) for p in r["pieces"]) for r in kept[0].collect()}
+    assert size[0] == 3 * 4000 and size[2] == 3 * 3999 and size[10] == 8 * 4000
