@@ -448,3 +448,12 @@ def test_cells_of_rounded_costs_take_three_bytes(spark):
     assert all(np.array_equal(got[i], want[i]) for i in range(len(want))) and rows.count == len(want)
     size = {r["q"]: sum(len(p["x"]) for p in r["pieces"]) for r in kept[0].collect()}
     assert size[0] == 3 * 4000 and size[2] == 3 * 3999 and size[10] == 8 * 4000
+
+
+def test_csls_lies_by_columns(spark, tmp_path):
+    """Its values hardly repeat, so the ids must cost next to nothing: Parquet takes little more than the eight bytes of the value."""
+    rng = np.random.default_rng(7)
+    make = lambda first, n: spark.createDataFrame([(first + i, v) for i, v in enumerate(rng.normal(size=(n, 8)).tolist())], "id long, v array<double>").coalesce(1)
+    similarity.csls_of_pairs(make(0, 128), make(1000, 6000), 4).write.parquet(str(tmp_path / "csls"))
+    assert sum(f.stat().st_size for f in (tmp_path / "csls").glob("*.parquet")) < 8.5 * 128 * 6000
+    assert spark.read.parquet(str(tmp_path / "csls")).select("q", "c").distinct().count() == 128 * 6000
